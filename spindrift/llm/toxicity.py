@@ -133,7 +133,7 @@ def apply_model(df: DataFrame, model: tuple[float, dict[str, float]], id_col: st
     schema = pa.schema([("id", pa.int64()), ("tkey", pa.int64()), ("score", pa.float64()), ("offending", pa.list_(pa.struct([("sentence", pa.int32()), ("score", pa.float64())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bias, weights = model
+        bias, weights = model[0], WordWeights(model[1])
         for batch in batches:
             each = [sentence_scores(t, bias, weights) for t in batch.column(2).to_pylist()]
             worst = [[{"sentence": int(k), "score": float(p[k])} for k in np.flatnonzero(p >= 0.5)] for p in each]
