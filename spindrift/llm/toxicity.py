@@ -124,8 +124,16 @@ def train(spark: SparkSession, df: DataFrame, labels: DataFrame, id_col: str = "
     ids = df.select(F.col(id_col).alias("_id")).distinct()
     chosen = chosen.join(ids, "_id").orderBy(order, "_id").limit(max_labelled)
     rows = df.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), "_id")
-    found = rows.select("_id", "text", F.col("toxic").cast("int")).distinct().collect()
-    return fit([(r["text"], r["toxic"]) for r in sorted(found, key=lambda r: (r["_id"], r["text"]))])
+    found = rows.select("_id", "text", F.col("toxic").cast("int")).distinct()
+
+    def fit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sorted(x for batch in batches for x in zip(*(c.to_pylist() for c in batch.columns)))
+        bias, weights = fit([(text, label) for _, text, label in held])
+        yield pa.RecordBatch.from_arrays([pa.array(["", *weights], pa.string()), pa.array([bias, *weights.values()], pa.float64())], names=["feature", "weight"])
+
+    # The rows are few by max_labelled, so one task fits them; the driver gets the weights only.
+    model = {r["feature"]: r["weight"] for r in found.repartition(1).mapInArrow(fit_all, "feature string, weight double").collect()}
+    return model.pop("", fit([])[0]), model
 
 
 def apply_model(df: DataFrame, model: tuple[float, dict[str, float]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
