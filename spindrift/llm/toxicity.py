@@ -17,7 +17,7 @@ gives no rows; other columns are ignored by ``score`` and kept by ``drop_toxic``
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +33,8 @@ MAX_LABELLED = 12_000
 MIN_ROWS = 20
 STEPS = 200
 THRESHOLD = 0.7
+#: Numbers that features are hashed to.
+SPACE = 1 << 22
 #: Words whose weights a worker remembers.
 REMEMBER = 500_000
 
@@ -44,15 +46,15 @@ def sentences(text: str) -> list[list[str]]:
     return [w for s in SENTENCE.split(text.lower()) if (w := WORD.findall(s))] or [[]]
 
 
-def features(word: str) -> list[str]:
-    """The word, and its stems by their first 3 to 8 letters: inflected forms share these."""
-    return [word, *(word[:k] + "-" for k in range(3, 9) if k <= len(word))]
+def features(word: str) -> list[int]:
+    """Numbers of the word and of its stems by the first 3 to 8 letters: inflected forms share these."""
+    return [zlib.crc32(f.encode()) % SPACE for f in (word, *(word[:k] + "-" for k in range(3, 9) if k <= len(word)))]
 
 
 class WordWeights(dict):
     """Word -> sum of the weights of its features; remembers up to ``REMEMBER`` words."""
 
-    def __init__(self, weights: dict[str, float]):
+    def __init__(self, weights: dict[int, float]):
         super().__init__()
         self.weights = weights
 
@@ -64,47 +66,69 @@ class WordWeights(dict):
         return found
 
 
-def fit(rows: list[tuple[str, int]], min_rows: int | None = None, steps: int = STEPS, l2: float = 0.3) -> tuple[float, dict[str, float]]:
+class Examples:
+    """Labelled texts as numbers: which words each sentence has, and which features each word."""
+
+    def __init__(self):
+        self.index: dict[str, int] = {}
+        self.of_word: list[np.ndarray] = []
+        self.rows_with = np.zeros(SPACE, np.int32)
+        self.words: list[np.ndarray] = []  # words of all sentences in turn
+        self.sizes: list[np.ndarray] = []  # words in each sentence
+        self.counts: list[int] = []  # sentences of each text
+        self.labels: list[int] = []
+
+    def add(self, text: str, label: int) -> None:
+        sizes, words = [], []
+        for s in sentences(text):
+            distinct = set(s)
+            sizes.append(len(distinct))
+            for w in distinct:
+                k = self.index.setdefault(w, len(self.of_word))
+                if k == len(self.of_word):
+                    self.of_word.append(np.array(features(w), np.int32))
+                words.append(k)
+        if words:
+            self.rows_with[np.unique(np.concatenate([self.of_word[k] for k in set(words)]))] += 1
+        self.words.append(np.array(words, np.int32))
+        self.sizes.append(np.array(sizes, np.int32))
+        self.counts.append(len(sizes))
+        self.labels.append(label)
+
+
+def fit(examples: Examples, min_rows: int | None = None, steps: int = STEPS, l2: float = 0.3) -> tuple[float, dict[int, float]]:
     """Bias and weights that maximise the likelihood of document labels under noisy-or (Adam, full batch)."""
-    texts = [[set(s) for s in sentences(t)] for t, _ in rows]
-    seen = Counter(f for t in texts for f in {f for s in t for w in s for f in features(w)})
-    least = min_rows or max(4, MIN_ROWS * len(rows) // MAX_LABELLED)
-    words = sorted(w for w, n in seen.items() if n >= least)
-    index = {w: k for k, w in enumerate(words)}
-    y = np.array([label for _, label in rows], float)
-    if not rows or y.min() == y.max():
-        return (-4.0 if not rows or y[0] == 0 else 0.9), {}
-    # Sentences of one text with no features are alike: they count by their number.
-    feature, sentence, owner, times = [], [], [], []
-    for d, t in enumerate(texts):
-        plain = 0
-        for s in t:
-            ids = [index[f] for w in s for f in features(w) if f in index]
-            if ids:
-                feature += ids
-                sentence += [len(owner)] * len(ids)
-                owner.append(d)
-                times.append(1)
-            else:
-                plain += 1
-        if plain:
-            owner.append(d)
-            times.append(plain)
-    feature, sentence, owner, times = np.array(feature, np.int64), np.array(sentence, np.int64), np.array(owner), np.array(times, float)
-    w, b = np.zeros(len(words)), -5.0
-    m, v = np.zeros(len(words) + 1), np.zeros(len(words) + 1)
+    n = len(examples.labels)
+    y = np.array(examples.labels, float)
+    if not n or y.min() == y.max():
+        return (-4.0 if not n or y[0] == 0 else 0.9), {}
+    kept = np.flatnonzero(examples.rows_with >= (min_rows or max(4, MIN_ROWS * n // MAX_LABELLED)))
+    number = np.full(SPACE, -1, np.int32)
+    number[kept] = np.arange(len(kept))
+    n_words = len(examples.of_word)
+    feature = number[np.concatenate(examples.of_word)] if n_words else np.zeros(0, np.int32)
+    of = np.repeat(np.arange(n_words, dtype=np.int32), [len(x) for x in examples.of_word])
+    of, feature = of[feature >= 0], feature[feature >= 0]
+    useful = np.zeros(n_words, bool)
+    useful[of] = True
+    word, sizes = np.concatenate(examples.words), np.concatenate(examples.sizes)
+    sentence = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    owner = np.repeat(np.arange(n), examples.counts)
+    word, sentence = word[useful[word]], sentence[useful[word]]
+    w, b = np.zeros(len(kept)), -5.0
+    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, steps + 1):
-        z = b + np.bincount(sentence, w[feature], len(owner))
-        clean = -np.logaddexp(0, z)  # log(1 - p_s)
-        none = np.minimum(np.bincount(owner, times * clean, len(rows)), -1e-9)
-        p = -np.expm1(none)
-        pull = np.where(y == 1, np.exp(none) / p, -1.0)  # d log likelihood / d -log(1 - p_s)
-        g = times * pull[owner] / (1 + np.exp(-z)) / len(rows)
-        grad = np.append(np.bincount(feature, g[sentence], len(words)) - l2 / len(rows) * w, g.sum())
+        of_word = np.bincount(of, w[feature], n_words)
+        z = b + np.bincount(sentence, of_word[word], len(sizes))
+        none = np.minimum(np.bincount(owner, -np.logaddexp(0, z), n), -1e-9)  # log(1 - p)
+        pull = np.where(y == 1, np.exp(none) / -np.expm1(none), -1.0)  # d log likelihood / d -log(1 - p_s)
+        g = pull[owner] / (1 + np.exp(-z)) / n
+        by_word = np.bincount(word, g[sentence], n_words)
+        grad = np.append(np.bincount(feature, by_word[of], len(w)) - l2 / n * w, g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         w, b = w + move[:-1], b + move[-1]
-    return float(b), {x: float(a) for x, a in zip(words, w) if abs(a) > 1e-3}
+    return float(b), {int(k): float(a) for k, a in zip(kept, w) if abs(a) > 1e-3}
 
 
 def sentence_scores(text: str, bias: float, weights: WordWeights) -> np.ndarray:
@@ -116,7 +140,7 @@ def noisy_or(p: np.ndarray) -> float:
     return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
 
 
-def train(spark: SparkSession, df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, mod: int = 3, held_remainder: int = 1) -> tuple[float, dict[str, float]]:
+def train(spark: SparkSession, df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, mod: int = 3, held_remainder: int = 1) -> tuple[float, dict[int, float]]:
     """Model from the rows of ``df`` that have a label and are not held out."""
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.col("_id"), F.lit(11))
@@ -127,16 +151,20 @@ def train(spark: SparkSession, df: DataFrame, labels: DataFrame, id_col: str = "
     found = rows.select("_id", "text", F.col("toxic").cast("int")).distinct()
 
     def fit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = sorted(x for batch in batches for x in zip(*(c.to_pylist() for c in batch.columns)))
-        bias, weights = fit([(text, label) for _, text, label in held])
-        yield pa.RecordBatch.from_arrays([pa.array(["", *weights], pa.string()), pa.array([bias, *weights.values()], pa.float64())], names=["feature", "weight"])
+        examples = Examples()
+        for batch in batches:
+            for text, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                examples.add(text, label)
+        bias, weights = fit(examples)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *weights], pa.int64()), pa.array([bias, *weights.values()], pa.float64())], names=["feature", "weight"])
 
     # The rows are few by max_labelled, so one task fits them; the driver gets the weights only.
-    model = {r["feature"]: r["weight"] for r in found.repartition(1).mapInArrow(fit_all, "feature string, weight double").collect()}
-    return model.pop("", fit([])[0]), model
+    fitted = found.repartition(1).sortWithinPartitions("_id", "text").mapInArrow(fit_all, "feature bigint, weight double")
+    model = {r["feature"]: r["weight"] for r in fitted.collect()}
+    return model.pop(-1, fit(Examples())[0]), model
 
 
-def apply_model(df: DataFrame, model: tuple[float, dict[str, float]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def apply_model(df: DataFrame, model: tuple[float, dict[int, float]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, tkey, score, and the offending sentences' numbers and scores (those of 0.5 or more)."""
     schema = pa.schema([("id", pa.int64()), ("tkey", pa.int64()), ("score", pa.float64()), ("offending", pa.list_(pa.struct([("sentence", pa.int32()), ("score", pa.float64())])))])
 

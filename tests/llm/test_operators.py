@@ -436,10 +436,13 @@ def test_noisy_or_finds_the_sentence():
         if k % 4 == 0:
             s[k % 5] += " vile"
         rows.append((". ".join(s), int(k % 4 == 0)))
-    bias, weights = toxicity.fit(rows)
+    examples = toxicity.Examples()
+    for row in rows:
+        examples.add(*row)
+    bias, weights = toxicity.fit(examples)
     p = toxicity.sentence_scores(rows[0][0], bias, toxicity.WordWeights(weights))
     assert p.argmax() == 0 and p[0] > 0.8 and p[1:].max() < 0.3
-    assert toxicity.fit([]) == (-4.0, {})
+    assert toxicity.fit(toxicity.Examples()) == (-4.0, {})
 
 
 # 10: secrets
