@@ -36,7 +36,7 @@ ROUNDS = 5
 WINDOW = 128
 SEGMENT = 64
 #: Distinct words that a pass holds before it hands their counts on.
-FLUSH = 200_000
+FLUSH = 100_000
 CLASSES = 64
 N_SYMBOLS = OWN + CLASSES + 1
 END = N_SYMBOLS - 1

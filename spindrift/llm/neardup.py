@@ -4,13 +4,14 @@ Each text's set of word shingles gives ``REGISTERS`` registers; a register holds
 leading-zero count and ten mantissa bits of the smallest of the set's hash values under
 its own hash function. Texts with equal sets are one class. Bands of registers propose
 pairs of classes; the Jaccard estimate, corrected for registers that agree by chance,
-drops those that are far off; the rest are verified on full shingle sets.
+and the bound that the sets' sizes set drop those far off; the rest are verified on full shingle sets.
 
-A band with many classes proposes no pairs among all of them. Its classes first meet one
-hub; then, round by round, other hubs chosen by a hash of band and round, wherever a band
-still spans several components. What no hub joins is compared sketch by sketch: the classes
-outside a band's largest component against all of the band, in blocks. So no link
-between different components of one band is missed, and groups of copies stay linear.
+A band with many classes proposes no pairs among all of them. Its classes meet one hub, the
+first in one of ``HUBS`` orders, so a class that shares many bands with a group meets
+several of its members. Wherever a band still spans several components, the classes
+outside its largest component are compared with all of the band, sketch by sketch and in
+blocks. So no link between different components of one band is missed, and groups of
+copies stay linear.
 
 Cases: null texts and texts without words have the empty set and link with nothing; a text
 of fewer words than a shingle is one shingle; texts of any length count whole; repeated
@@ -29,21 +30,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import lookup, materialise, read_table, small_batches, text_or_empty
+from spindrift.llm.common import lookup, materialise, may_hold, read_table, small_batches, text_or_empty
 from spindrift.llm.components import components
 from spindrift.llm.fingerprint import mix
 
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
-#: A pair is verified if its estimate is no further below the threshold than this: six standard errors.
-MARGIN = 0.21
+#: A pair is verified if its estimate is no further below the threshold than this: four standard errors.
+MARGIN = 0.14
 #: Members that meet one copy of their hub.
 SALT = 256
 #: Bands' classes compared at a time in the last step.
 BLOCK = 256
-#: Rounds of other hubs before that step.
-HUB_ROUNDS = 4
+#: Hubs that the classes of a band's group meet: bands are dealt to so many orders of the classes.
+HUBS = 4
 #: Bytes hashed at a time.
 BYTES = 1 << 20
 
@@ -202,20 +203,30 @@ def compare(spark: SparkSession, pairs: DataFrame, payload: DataFrame, run, name
     return materialise(spark, dealt.mapInArrow(run, "a binary, b binary"), name)
 
 
-def in_blocks(threshold: float):
-    """Rows of one block pair: outer (sketch, component, cls) lists against inner ones."""
+def in_blocks(threshold: float, best: bool):
+    """Rows of block pairs: outer (sketch, component, cls) lists against inner ones. Gives the
+    pairs across components that may hold, or with ``best`` each outer class's likeliest."""
 
-    def run(key, table: pa.Table) -> pa.Table:
-        cols = {n: table.column(n).to_pylist() for n in ("outer_cls", "outer_sketch", "outer_part", "inner_cls", "inner_sketch", "inner_part")}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                yield one(batch.slice(at, 1))
+
+    def one(table: pa.RecordBatch) -> pa.RecordBatch:
+        cols = {n: table.column(n).to_pylist() for n in ("outer_cls", "outer_sketch", "outer_part", "outer_n", "inner_cls", "inner_sketch", "inner_part", "inner_n")}
         a, b = [], []
-        for oc, os, op, ic, is_, ip in zip(*cols.values()):
+        for oc, os, op, on, ic, is_, ip, in_ in zip(*cols.values()):
+            sizes = np.array(in_)
             x, y = (np.frombuffer(b"".join(s), "<u2").reshape(len(s), REGISTERS) for s in (os, is_))
             for k in range(len(oc)):
-                for j in np.flatnonzero(estimate(x[k], y) >= threshold - MARGIN):
-                    if op[k] != ip[j]:
-                        a.append(oc[k])
-                        b.append(ic[j])
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+                found = estimate(x[k], y)
+                near = (found >= threshold - MARGIN) & (np.minimum(sizes, on[k]) >= threshold * np.maximum(sizes, on[k]) - 1e-9)
+                other = [j for j in np.flatnonzero(near) if op[k] != ip[j]]
+                if best and other:
+                    other = [max(other, key=lambda j: (found[j], ic[j]))]
+                a += [oc[k]] * len(other)
+                b += [ic[j] for j in other]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     return run
 
@@ -238,7 +249,9 @@ class Finder:
         if not near.limit(1).count():
             return 0
         need = near.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(self.classes.select("cls", "first"), "cls").select("cls", "first.id", "first.tkey")
-        found = self.texts.join(need, self.texts["id"].eqNullSafe(need["id"]) & (self.texts["tkey"] == need["tkey"])).select("cls", F.col("text").alias("payload")).dropDuplicates(["cls"])
+        need = materialise(spark, need, f"need-{name}")
+        some = self.texts.filter(may_hold(F.col("tkey"), need.select("tkey")))
+        found = some.join(need, some["id"].eqNullSafe(need["id"]) & (some["tkey"] == need["tkey"])).select(need["cls"], F.col("text").alias("payload")).dropDuplicates(["cls"])
         text = materialise(spark, found, f"texts-{name}")
         more = compare(spark, near, text, by_set(self.words, self.percent), f"links-{name}")
         self.links = more if self.links is None else self.links.unionByName(more)
@@ -256,10 +269,19 @@ class Finder:
         sizes = with_part.groupBy("band", "part").agg(F.count(F.lit(1)).alias("n"))
         bands = sizes.groupBy("band").agg(F.sum("n").alias("m"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "part")).alias("largest"))
         bands = materialise(self.spark, bands.filter("parts > 1").select("band", "m", F.col("largest.part").alias("main"), F.col("largest.n").alias("n_main")), "bands")
-        return self.of_bands(with_part, bands)
+        return lookup(with_part, bands, "band", "m", with_part.count()).filter("m IS NOT NULL")
+
 
-    def of_bands(self, members: DataFrame, bands: DataFrame) -> DataFrame:
-        return lookup(members, bands, "band", "m", members.count()).filter("m IS NOT NULL")
+    def blocks(self, left: DataFrame, best: bool) -> DataFrame:
+        """Pairs of classes outside a band's largest component with others of the band, ``BLOCK`` by ``BLOCK``."""
+        block = F.pmod(F.xxhash64("cls"), F.ceil(F.col("m") / BLOCK)).cast("int")
+        dealt = left.join(self.classes.select("cls", "sketch", F.col("n_shingles").alias("n")), "cls").withColumn("block", block)
+        lists = [F.collect_list(c).alias(c) for c in ("cls", "sketch", "part", "n")]
+        named = lambda df, side: df.select("band", F.col("block").alias(f"{side}_block"), *[F.col(c).alias(f"{side}_{c}") for c in ("cls", "sketch", "part", "n")])
+        inner = named(dealt.groupBy("band", "block").agg(*lists), "inner")
+        outer = named(dealt.filter("part <> main").groupBy("band", "block").agg(*lists), "outer")
+        pairs = outer.join(inner, "band").repartition("band", "outer_block", "inner_block")
+        return pairs.mapInArrow(in_blocks(self.percent / 100, best), "a binary, b binary")
 
 
 def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -268,12 +290,13 @@ def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
     text = text_or_empty(text_col)
     texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("tkey"), text.alias("text"))
     rows = materialise(spark, texts.mapInArrow(sketcher(words), "id bigint, tkey bigint, n_shingles bigint, cls binary, sketch binary"), "sketches")
-    sized = rows.filter("cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct("id", "tkey")).alias("first"), F.min("id").alias("least"), F.count(F.lit(1)).alias("size"), F.first("sketch").alias("sketch"))
+    sized = rows.filter("cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct("id", "tkey")).alias("first"), F.min("id").alias("least"), F.count(F.lit(1)).alias("size"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
     classes = materialise(spark, sized, "classes")
 
-    bands = F.array(*[F.xxhash64(F.lit(k), F.substring("sketch", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(BANDS)])
-    each = classes.select("cls", F.explode(bands).alias("band"))
-    shared = each.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("cls").alias("hub")).filter("m > 1")
+    bands = F.array(*[F.struct(F.xxhash64(F.lit(k), F.substring("sketch", 2 * ROWS * k + 1, 2 * ROWS)).alias("band"), F.lit(k % HUBS).alias("order")) for k in range(BANDS)])
+    each = classes.select("cls", F.explode(bands).alias("b")).select("cls", "b.*")
+    ranked = each.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("cls", "order"), "cls")).alias("h"))
+    shared = ranked.filter("m > 1").select("band", "m", F.col("h.cls").alias("hub"))
     shared = materialise(spark, shared, "shared-bands")
     members = lookup(each, shared, "band", "m", BANDS * classes.count()).filter("m IS NOT NULL")
     members = materialise(spark, members, "members")
@@ -281,27 +304,12 @@ def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
     finder.verify(members.filter("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), "0")
     members = members.select("band", "cls")
 
-    left = finder.parts(members)
-    for k in range(1, HUB_ROUNDS + 1):
-        crowded = left.filter(F.col("m") > BLOCK)
-        if not crowded.limit(1).count():
-            break
-        # In each crowded band, members outside the largest component meet one of its members, another each round.
-        hubs = crowded.filter("part = main").groupBy("band").agg(F.min(F.struct(F.xxhash64("cls", F.lit(k)), "cls")).alias("h"), F.first("m").alias("n")).select("band", F.col("h.cls").alias("a"), "n")
-        odd = crowded.filter("part <> main").select("band", F.col("cls").alias("b"))
-        pairs = lookup(odd, materialise(spark, hubs, f"hubs-{k}"), "band", "n", odd.count()).select("a", "b").distinct()
-        if not finder.verify(pairs, str(k)):
-            break
+    # What no hub joins: first with the likeliest of its band, then with all of it.
+    for best in (True, False):
         left = finder.parts(members)
-    # The rest: outside the largest component against the whole band, in blocks.
-    block = lambda salt: F.pmod(F.xxhash64("cls", F.lit(salt)), F.ceil(F.col("m") / BLOCK)).cast("int")
-    dealt = left.join(classes.select("cls", "sketch"), "cls").withColumn("block", block(1))
-    lists = [F.collect_list(c).alias(n) for c, n in (("cls", "cls"), ("sketch", "sketch"), ("part", "part"))]
-    inner = dealt.groupBy("band", "block").agg(*lists).select("band", "block", *[F.col(c).alias(f"inner_{c}") for c in ("cls", "sketch", "part")])
-    outer = dealt.filter("part <> main").groupBy("band", "block").agg(*lists).select("band", F.col("block").alias("o"), *[F.col(c).alias(f"outer_{c}") for c in ("cls", "sketch", "part")])
-    blocks = outer.join(inner, "band").repartition("band", "o", "block")
-    found = blocks.mapInArrow(lambda batches: (in_blocks(percent / 100)(None, pa.Table.from_batches([b])).to_batches()[0] for b in batches if b.num_rows), "a binary, b binary")
-    finder.verify(found, "rest")
+        if not left.limit(1).count():
+            break
+        finder.verify(finder.blocks(left, best), "best" if best else "rest")
 
     if finder.links is None:
         ends = classes.select("cls", F.col("cls").alias("part"))
