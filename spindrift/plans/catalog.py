@@ -288,7 +288,7 @@ def grouped_vectors(spark, d):
     return tb.vec_frames(spark, d).filter("frame < 40").select(F.col("vec_id").alias("id"), F.col("recording").alias("grp"), F.col("embedding").alias("v"))
 
 
-GROUPED = f"WITH {VECS}, g AS MATERIALIZED (SELECT vec_id AS id, recording AS grp, v FROM vecs WHERE frame <= 39), half AS (SELECT a.id AS anchor, b.id AS comparison, a.grp AS gi, b.grp AS gj, {DIST} AS d FROM g a JOIN g b ON a.id < b.id), pairs AS (SELECT * FROM half UNION ALL SELECT comparison, anchor, gj, gi, d FROM half)"
+GROUPED = f"WITH {VECS}, g AS MATERIALIZED (SELECT vec_id AS id, recording AS grp, v FROM (SELECT vec_id, label AS recording, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings) WHERE rn <= 40), half AS (SELECT a.id AS anchor, b.id AS comparison, a.grp AS gi, b.grp AS gj, {DIST} AS d FROM g a JOIN g b ON a.id < b.id), pairs AS (SELECT * FROM half UNION ALL SELECT comparison, anchor, gj, gi, d FROM half)"
 
 
 @query(GROUPED + ", t AS (SELECT gi AS grp, anchor, round(sum(d), 6) AS total FROM pairs WHERE gi = gj GROUP BY gi, anchor) SELECT grp, anchor AS medoid FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY total, anchor) AS k FROM t) WHERE k = 1")
