@@ -9,7 +9,7 @@ and the bound that the sets' sizes set drop those far off; the rest are verified
 A band with many classes proposes no pairs among all of them. Its classes meet one hub, the
 first in one of ``HUBS`` orders, so a class that shares many bands with a group meets
 several of its members. Wherever a band still spans several components, the classes
-outside its largest component are compared with all of the band, sketch by sketch and in
+outside its largest component are compared with all of the band, by finer sketches and in
 blocks. So no link between different components of one band is missed, and groups of
 copies stay linear.
 
@@ -37,8 +37,10 @@ from spindrift.llm.fingerprint import mix
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
-#: A pair is verified if its estimate is no further below the threshold than this: four standard errors.
-MARGIN = 0.14
+#: Registers of the finer sketches that whole bands are compared by.
+FINE = 4 * REGISTERS
+#: A pair is verified if its estimate is no more standard errors below the threshold than this.
+ERRORS = 4
 #: Members that meet one copy of their hub.
 SALT = 256
 #: Bands' classes compared at a time in the last step.
@@ -48,7 +50,7 @@ HUBS = 4
 #: Bytes hashed at a time.
 BYTES = 1 << 20
 
-MULTIPLIERS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+MULTIPLIERS = mix(np.arange(1, FINE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 BYTE_HASH = mix(np.arange(256, dtype=np.uint64) + np.uint64(0x1234567))
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -100,12 +102,16 @@ class Shingles:
                 yield x[:0]
 
 
-def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """Registers of non-empty sets: (len(sets), REGISTERS) of 16 bits."""
+def least_estimate(threshold: float, registers: int) -> float:
+    return threshold - ERRORS * (threshold * (1 - threshold) / registers) ** 0.5
+
+
+def sketches(sets: list[np.ndarray], registers: int = REGISTERS) -> np.ndarray:
+    """Registers of non-empty sets: (len(sets), registers) of 16 bits."""
     every = np.concatenate(sets)
     starts = np.cumsum([0] + [len(s) for s in sets[:-1]])
-    least = np.empty((REGISTERS, len(sets)), np.uint64)
-    for k, a in enumerate(MULTIPLIERS):
+    least = np.empty((registers, len(sets)), np.uint64)
+    for k, a in enumerate(MULTIPLIERS[:registers]):
         np.minimum.reduceat(every * a, starts, out=least[k])
     exponent = np.frexp(least.astype(np.float64))[1].clip(1, 64)
     zeros = (64 - exponent).astype(np.uint64)
@@ -148,6 +154,16 @@ def sketcher(words: int):
     return run
 
 
+def fine_sketcher(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(words)
+        for batch in batches:
+            rows = [sketches([np.unique(next(shingles([t.lower()])))], FINE)[0].tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["cls", "sketch"])
+
+    return run
+
+
 def beside_hubs(batches: Iterator[pa.RecordBatch], linked) -> Iterator[pa.RecordBatch]:
     """Rows (a, salt, role, b, payload), a hub's own (role 0) before its members': pairs that
     ``linked`` accepts. Holds one hub at a time."""
@@ -164,7 +180,7 @@ def beside_hubs(batches: Iterator[pa.RecordBatch], linked) -> Iterator[pa.Record
 
 def by_sketch(threshold: float):
     def run(batches):
-        least = threshold - MARGIN
+        least = least_estimate(threshold, REGISTERS)
         linked = lambda x, y, _: estimate(np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")) >= least
         return beside_hubs(batches, linked)
 
@@ -217,10 +233,11 @@ def in_blocks(threshold: float, best: bool):
         a, b = [], []
         for oc, os, op, on, ic, is_, ip, in_ in zip(*cols.values()):
             sizes = np.array(in_)
-            x, y = (np.frombuffer(b"".join(s), "<u2").reshape(len(s), REGISTERS) for s in (os, is_))
+            x, y = (np.frombuffer(b"".join(s), "<u2").reshape(len(s), -1) for s in (os, is_))
+            least = least_estimate(threshold, x.shape[1])
             for k in range(len(oc)):
                 found = estimate(x[k], y)
-                near = (found >= threshold - MARGIN) & (np.minimum(sizes, on[k]) >= threshold * np.maximum(sizes, on[k]) - 1e-9)
+                near = (found >= least) & (np.minimum(sizes, on[k]) >= threshold * np.maximum(sizes, on[k]) - 1e-9)
                 other = [j for j in np.flatnonzero(near) if op[k] != ip[j]]
                 if best and other:
                     other = [max(other, key=lambda j: (found[j], ic[j]))]
@@ -248,15 +265,19 @@ class Finder:
         near = compare(spark, pairs, self.sketch, by_sketch(self.percent / 100), f"near-{name}")
         if not near.limit(1).count():
             return 0
-        need = near.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(self.classes.select("cls", "first"), "cls").select("cls", "first.id", "first.tkey")
-        need = materialise(spark, need, f"need-{name}")
-        some = self.texts.filter(may_hold(F.col("tkey"), need.select("tkey")))
-        found = some.join(need, some["id"].eqNullSafe(need["id"]) & (some["tkey"] == need["tkey"])).select(need["cls"], F.col("text").alias("payload")).dropDuplicates(["cls"])
-        text = materialise(spark, found, f"texts-{name}")
+        text = self.texts_of(near.select(F.explode(F.array("a", "b")).alias("cls")), name)
         more = compare(spark, near, text, by_set(self.words, self.percent), f"links-{name}")
         self.links = more if self.links is None else self.links.unionByName(more)
         return more.count()
 
+    def texts_of(self, some: DataFrame, name: str) -> DataFrame:
+        """(cls, payload): the text of one row of each class in ``some``."""
+        need = some.distinct().join(self.classes.select("cls", "first"), "cls").select("cls", "first.id", "first.tkey")
+        need = materialise(self.spark, need, f"need-{name}")
+        rows = self.texts.filter(may_hold(F.col("tkey"), need.select("tkey")))
+        found = rows.join(need, rows["id"].eqNullSafe(need["id"]) & (rows["tkey"] == need["tkey"])).select(need["cls"], F.col("text").alias("payload"))
+        return materialise(self.spark, found.dropDuplicates(["cls"]), f"texts-{name}")
+
     def parts(self, members: DataFrame) -> DataFrame:
         """``members`` (band, cls) with the component of each class so far, of bands that span several."""
         if self.links is None:
@@ -275,7 +296,12 @@ class Finder:
     def blocks(self, left: DataFrame, best: bool) -> DataFrame:
         """Pairs of classes outside a band's largest component with others of the band, ``BLOCK`` by ``BLOCK``."""
         block = F.pmod(F.xxhash64("cls"), F.ceil(F.col("m") / BLOCK)).cast("int")
-        dealt = left.join(self.classes.select("cls", "sketch", F.col("n_shingles").alias("n")), "cls").withColumn("block", block)
+        known = self.classes.select("cls", "sketch", F.col("n_shingles").alias("n"))
+        if not best:
+            text = self.texts_of(left.select("cls"), "fine")
+            fine = materialise(self.spark, text.mapInArrow(fine_sketcher(self.words), "cls binary, sketch binary"), "fine")
+            known = fine.join(known.drop("sketch"), "cls")
+        dealt = left.join(known, "cls").withColumn("block", block)
         lists = [F.collect_list(c).alias(c) for c in ("cls", "sketch", "part", "n")]
         named = lambda df, side: df.select("band", F.col("block").alias(f"{side}_block"), *[F.col(c).alias(f"{side}_{c}") for c in ("cls", "sketch", "part", "n")])
         inner = named(dealt.groupBy("band", "block").agg(*lists), "inner")
