@@ -76,13 +76,10 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def may_hold(hash_col: Column, keys: DataFrame, buckets: int = 1 << 20) -> Column:
-    """A predicate that is true for all rows whose ``hash_col`` is among ``keys``' first column,
-    and, as long as these are few, false for most others.
-
-    One byte for each of ``buckets`` remainders goes into the plan, whatever the tables' size.
+def may_hold(df: DataFrame, hash_col: str, keys: DataFrame, buckets: int = 1 << 18) -> DataFrame:
+    """All rows of ``df`` whose ``hash_col`` is among ``keys`` (one column of that name), and,
+    as long as these are few, few others: a semi-join with the remainders that occur, of
+    which there are ``buckets`` at most, whatever the tables' sizes.
     """
-    marks = bytearray(buckets)
-    for row in keys.select(F.pmod(F.col(keys.columns[0]), F.lit(buckets))).distinct().toLocalIterator():
-        marks[row[0]] = 1
-    return F.substring(F.lit(bytes(marks)), F.pmod(hash_col, F.lit(buckets)).cast("int") + 1, 1) == F.lit(b"\x01")
+    seen = keys.select(F.pmod(F.col(hash_col), F.lit(buckets)).cast("int").alias("_sd_bucket")).distinct()
+    return df.join(F.broadcast(seen), F.pmod(F.col(hash_col), F.lit(buckets)).cast("int") == F.col("_sd_bucket"), "left_semi")

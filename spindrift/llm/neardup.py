@@ -274,7 +274,7 @@ class Finder:
         """(cls, payload): the text of one row of each class in ``some``."""
         need = some.distinct().join(self.classes.select("cls", "first"), "cls").select("cls", "first.id", "first.tkey")
         need = materialise(self.spark, need, f"need-{name}")
-        rows = self.texts.filter(may_hold(F.col("tkey"), need.select("tkey")))
+        rows = may_hold(self.texts, "tkey", need.select("tkey"))
         found = rows.join(need, rows["id"].eqNullSafe(need["id"]) & (rows["tkey"] == need["tkey"])).select(need["cls"], F.col("text").alias("payload"))
         return materialise(self.spark, found.dropDuplicates(["cls"]), f"texts-{name}")
 
