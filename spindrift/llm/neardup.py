@@ -275,7 +275,8 @@ class Finder:
         need = some.distinct().join(self.classes.select("cls", "first"), "cls").select("cls", "first.id", "first.tkey")
         need = materialise(self.spark, need, f"need-{name}")
         rows = may_hold(self.texts, "tkey", need.select("tkey"))
-        found = rows.join(need, rows["id"].eqNullSafe(need["id"]) & (rows["tkey"] == need["tkey"])).select(need["cls"], F.col("text").alias("payload"))
+        named = need.select("cls", F.col("id").alias("_id"), F.col("tkey").alias("_tkey"))
+        found = rows.join(named, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tkey") == F.col("_tkey"))).select("cls", F.col("text").alias("payload"))
         return materialise(self.spark, found.dropDuplicates(["cls"]), f"texts-{name}")
 
     def parts(self, members: DataFrame) -> DataFrame:
