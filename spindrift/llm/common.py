@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: At most this many keys are ever broadcast by :func:`lookup`.
 HOT_KEYS = 512
+#: Whether Spark removes an execution's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,9 +39,18 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors."""
+    """Write to the shared folder and read back: cuts lineage, survives lost executors.
+
+    The written table takes the place of the shuffles that made it, so their files go with
+    the write and do not add up over the rounds of an iteration.
+    """
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
