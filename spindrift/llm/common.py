@@ -51,7 +51,16 @@ def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(spark: SparkSession, *tables: DataFrame | None) -> None:
+    """Delete materialised tables that nothing reads any more: all made from them is written."""
+    for path in [t.written_to for t in tables if t is not None]:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def text_or_empty(col: str = "text") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import materialise
+from spindrift.llm.common import discard, materialise
 
 #: Links that one task of a round handles.
 TASK = 250_000
@@ -22,15 +22,18 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     tasks = 8 + edges.count() // TASK
     # Later rounds have fewer links still: their tables are written by as many tasks as these links need.
     keep = lambda df, name: materialise(spark, df.coalesce(tasks), name)
-    edges = keep(edges, "few-links")
+    edges, every = keep(edges, "few-links"), edges
+    discard(spark, every)
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     labels, steps = nodes.withColumn("component", F.col("node")), 0
     while edges.filter("a <> b").limit(1).count():
         steps += 1
+        old = [edges] if steps == 1 else [edges, labels]
         both = edges.filter("a <> b").select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")).select("e.*")
         up = both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("p"))
         up = keep(up, f"parents-{steps}")
         jump = up.select(F.col("x").alias("p"), F.col("p").alias("pp"))
+        old.append(up)
         up = keep(up.join(jump, "p", "left").select("x", F.coalesce("pp", "p").alias("p")), f"jumps-{steps}")
         labels = labels.join(up, F.col("component") == F.col("x"), "left").select("node", F.coalesce("p", "component").alias("component"))
         labels = keep(labels, f"labels-{steps}")
@@ -38,4 +41,5 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         moved = edges.filter("a <> b").join(ends, F.col("a") == F.col("u"), "left").select(F.coalesce("pu", "a").alias("a"), "b")
         moved = moved.join(ends, F.col("b") == F.col("u"), "left").select("a", F.coalesce("pu", "b").alias("b"))
         edges = keep(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), f"links-{steps}")
+        discard(spark, *old, up)
     return labels

@@ -8,10 +8,11 @@ and the bound that the sets' sizes set drop those far off; the rest are verified
 
 A band with many classes proposes no pairs among all of them. Its classes meet one hub, the
 first in one of ``HUBS`` orders, so a class that shares many bands with a group meets
-several of its members. Wherever a band still spans several components, the classes
-outside its largest component are compared with all of the band, by finer sketches and in
-blocks. So no link between different components of one band is missed, and groups of
-copies stay linear.
+several of its members. Wherever the members of a band still span several components, those
+outside the largest are compared with all others, by finer sketches and in blocks; what
+met its hub before is not compared again. Two blocks propose no pair of classes that other
+links of theirs connect. So no link between different components of one band is missed,
+and groups of copies stay linear.
 
 Cases: null texts and texts without words have the empty set and link with nothing; a text
 of fewer words than a shingle is one shingle; texts of any length count whole; repeated
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import lookup, materialise, may_hold, read_table, small_batches, text_or_empty
+from spindrift.llm.common import discard, lookup, materialise, may_hold, read_table, small_batches, text_or_empty
 from spindrift.llm.components import components
 from spindrift.llm.fingerprint import mix
 
@@ -39,6 +40,8 @@ REGISTERS = BANDS * ROWS
 MANTISSA = 10
 #: Registers of the finer sketches that whole bands are compared by.
 FINE = 4 * REGISTERS
+#: Sets of up to so many shingles go along whole with the finer sketches, to be verified there.
+WHOLE = 256
 #: A pair is verified if its estimate is no more standard errors below the threshold than this.
 ERRORS = 4
 #: Members that meet one copy of their hub.
@@ -56,6 +59,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 STEP = 0x9E3779B97F4A7C15 | 1
 BACK = pow(STEP, -1, 1 << 64)
+#: What a block lists of each class.
+PARTS = ("cls", "sketch", "own", "part", "n")
 
 
 def geometric(step: int, n: int) -> np.ndarray:
@@ -127,6 +132,18 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (same - chance) / (1 - chance)
 
 
+def by_bytes(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``BYTES`` together, or of one longer text."""
+    at = 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (to == at or size + len(texts[to]) <= BYTES):
+            size += len(texts[to])
+            to += 1
+        yield at, to
+        at = to
+
+
 def sketcher(words: int):
     schema = pa.schema([("id", pa.int64()), ("tkey", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("sketch", pa.binary())])
 
@@ -135,12 +152,7 @@ def sketcher(words: int):
         for batch in batches:
             ids, keys = batch.column(0), batch.column(1)
             texts = [t.lower() for t in batch.column(2).cast(pa.binary()).to_pylist()]
-            at = 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and (to == at or size + len(texts[to]) <= BYTES):
-                    size += len(texts[to])
-                    to += 1
+            for at, to in by_bytes(texts):
                 sets = [np.unique(s) for s in shingles(texts[at:to])]
                 full = [k for k, s in enumerate(sets) if len(s)]
                 sketch: list[bytes | None] = [None] * len(sets)
@@ -149,21 +161,31 @@ def sketcher(words: int):
                         sketch[k] = row.tobytes()
                 cls = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([ids.slice(at, to - at), keys.slice(at, to - at), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary()), pa.array(sketch, pa.binary())], schema=schema)
-                at = to
 
     return run
 
 
 def fine_sketcher(words: int):
+    """Of each text the finer sketch, and the whole set if it is small (else empty)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words)
         for batch in batches:
-            rows = [sketches([np.unique(next(shingles([t.lower()])))], FINE)[0].tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["cls", "sketch"])
+            texts = [t.lower() for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            for at, to in by_bytes(texts):
+                sets = [np.unique(s) for s in shingles(texts[at:to])]
+                own = [s.tobytes() if len(s) <= WHOLE else b"" for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array([r.tobytes() for r in sketches(sets, FINE)], pa.binary()), pa.array(own, pa.binary())], names=["cls", "sketch", "own"])
 
     return run
 
 
+def holds(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets, none empty, are linked."""
+    both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def beside_hubs(batches: Iterator[pa.RecordBatch], linked) -> Iterator[pa.RecordBatch]:
     """Rows (a, salt, role, b, payload), a hub's own (role 0) before its members': pairs that
     ``linked`` accepts. Holds one hub at a time."""
@@ -194,10 +216,7 @@ def by_set(words: int, percent: int):
         def linked(x: str, y: str, hub: bytes) -> bool:
             if held.get("hub") != hub:
                 held.update(hub=hub, set=np.unique(next(shingles([x.encode().lower()]))))
-            a, b = held["set"], np.unique(next(shingles([y.encode().lower()])))
-            at = np.searchsorted(a, b)
-            both = int((a[np.minimum(at, len(a) - 1)] == b).sum())
-            return 100 * both >= percent * (len(a) + len(b) - both)
+            return holds(held["set"], np.unique(next(shingles([y.encode().lower()]))), percent)
 
         return beside_hubs(batches, linked)
 
@@ -219,30 +238,53 @@ def compare(spark: SparkSession, pairs: DataFrame, payload: DataFrame, run, name
     return materialise(spark, dealt.mapInArrow(run, "a binary, b binary"), name)
 
 
-def in_blocks(threshold: float, best: bool):
-    """Rows of block pairs: outer (sketch, component, cls) lists against inner ones. Gives the
-    pairs across components that may hold, or with ``best`` each outer class's likeliest."""
+class Joined:
+    """Which components the links of two blocks connect."""
+
+    def __init__(self):
+        self.up: dict[bytes, bytes] = {}
+
+    def root(self, x: bytes) -> bytes:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: bytes, y: bytes) -> None:
+        self.up[self.root(x)] = self.root(y)
+
+
+def in_blocks(percent: int):
+    """Rows of block pairs: outer (cls, sketch, own, part, n) lists against inner ones. Gives
+    links of small sets that connect all components they can, verified here, and the pairs of
+    other components that may hold where a set is large."""
+    columns = [f"{side}_{c}" for side in ("outer", "inner") for c in PARTS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
-                yield one(batch.slice(at, 1))
-
-    def one(table: pa.RecordBatch) -> pa.RecordBatch:
-        cols = {n: table.column(n).to_pylist() for n in ("outer_cls", "outer_sketch", "outer_part", "outer_n", "inner_cls", "inner_sketch", "inner_part", "inner_n")}
-        a, b = [], []
-        for oc, os, op, on, ic, is_, ip, in_ in zip(*cols.values()):
-            sizes = np.array(in_)
-            x, y = (np.frombuffer(b"".join(s), "<u2").reshape(len(s), -1) for s in (os, is_))
-            least = least_estimate(threshold, x.shape[1])
-            for k in range(len(oc)):
-                found = estimate(x[k], y)
-                near = (found >= least) & (np.minimum(sizes, on[k]) >= threshold * np.maximum(sizes, on[k]) - 1e-9)
-                other = [j for j in np.flatnonzero(near) if op[k] != ip[j]]
-                if best and other:
-                    other = [max(other, key=lambda j: (found[j], ic[j]))]
-                a += [oc[k]] * len(other)
-                b += [ic[j] for j in other]
+                yield one(*(batch.column(n)[at].as_py() for n in columns))
+
+    def one(oc, os, oo, op, on, ic, is_, io, ip, in_) -> pa.RecordBatch:
+        sizes, joined, a, b, open_ = np.array(in_), Joined(), [], [], []
+        x, y = (np.frombuffer(b"".join(s), "<u2").reshape(len(s), -1) for s in (os, is_))
+        outer, inner = ([np.frombuffer(s, np.uint64) for s in own] for own in (oo, io))
+        least = least_estimate(percent / 100, x.shape[1])
+        for k in range(len(oc)):
+            near = (estimate(x[k], y) >= least) & (100 * np.minimum(sizes, on[k]) >= percent * np.maximum(sizes, on[k]))
+            for j in np.flatnonzero(near):
+                if joined.root(op[k]) == joined.root(ip[j]):
+                    continue
+                if not len(outer[k]) or not len(inner[j]):
+                    open_.append((k, j))
+                elif holds(outer[k], inner[j], percent):
+                    joined.join(op[k], ip[j])
+                    a.append(oc[k])
+                    b.append(ic[j])
+        for k, j in open_:
+            if joined.root(op[k]) != joined.root(ip[j]):
+                a.append(oc[k])
+                b.append(ic[j])
         return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     return run
@@ -255,7 +297,6 @@ class Finder:
         self.spark, self.texts, self.classes, self.words, self.percent = spark, texts, classes, words, percent
         self.sketch = classes.select("cls", F.col("sketch").alias("payload"))
         self.links: DataFrame | None = None
-        self.payload: DataFrame | None = None
 
     def verify(self, pairs: DataFrame, name: str) -> int:
         """Adds the pairs that hold; says how many."""
@@ -263,10 +304,12 @@ class Finder:
         ordered = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a", "b").groupBy("x", "y").agg(F.min("a").alias("a"), F.max(F.struct("a", "b")).alias("ab"))
         pairs = materialise(spark, ordered.select("ab.a", "ab.b"), f"pairs-{name}")
         near = compare(spark, pairs, self.sketch, by_sketch(self.percent / 100), f"near-{name}")
+        discard(spark, pairs)
         if not near.limit(1).count():
             return 0
         text = self.texts_of(near.select(F.explode(F.array("a", "b")).alias("cls")), name)
         more = compare(spark, near, text, by_set(self.words, self.percent), f"links-{name}")
+        discard(spark, near, text)
         self.links = more if self.links is None else self.links.unionByName(more)
         return more.count()
 
@@ -277,7 +320,9 @@ class Finder:
         rows = may_hold(self.texts, "tkey", need.select("tkey"))
         named = need.select("cls", F.col("id").alias("_id"), F.col("tkey").alias("_tkey"))
         found = rows.join(named, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tkey") == F.col("_tkey"))).select("cls", F.col("text").alias("payload"))
-        return materialise(self.spark, found.dropDuplicates(["cls"]), f"texts-{name}")
+        out = materialise(self.spark, found.dropDuplicates(["cls"]), f"texts-{name}")
+        discard(self.spark, need)
+        return out
 
     def parts(self, members: DataFrame) -> DataFrame:
         """``members`` (band, cls) with the component of each class so far, of bands that span several."""
@@ -293,22 +338,19 @@ class Finder:
         bands = materialise(self.spark, bands.filter("parts > 1").select("band", "m", F.col("largest.part").alias("main"), F.col("largest.n").alias("n_main")), "bands")
         return lookup(with_part, bands, "band", "m", with_part.count()).filter("m IS NOT NULL")
 
-
-    def blocks(self, left: DataFrame, best: bool) -> DataFrame:
+    def blocks(self, left: DataFrame) -> DataFrame:
         """Pairs of classes outside a band's largest component with others of the band, ``BLOCK`` by ``BLOCK``."""
-        block = F.pmod(F.xxhash64("cls"), F.ceil(F.col("m") / BLOCK)).cast("int")
-        known = self.classes.select("cls", "sketch", F.col("n_shingles").alias("n"))
-        if not best:
-            text = self.texts_of(left.select("cls"), "fine")
-            fine = materialise(self.spark, text.mapInArrow(fine_sketcher(self.words), "cls binary, sketch binary"), "fine")
-            known = fine.join(known.drop("sketch"), "cls")
-        dealt = left.join(known, "cls").withColumn("block", block)
-        lists = [F.collect_list(c).alias(c) for c in ("cls", "sketch", "part", "n")]
-        named = lambda df, side: df.select("band", F.col("block").alias(f"{side}_block"), *[F.col(c).alias(f"{side}_{c}") for c in ("cls", "sketch", "part", "n")])
+        text = self.texts_of(left.select("cls"), "fine")
+        fine = materialise(self.spark, text.mapInArrow(fine_sketcher(self.words), "cls binary, sketch binary, own binary"), "fine")
+        discard(self.spark, text)
+        known = fine.join(self.classes.select("cls", F.col("n_shingles").alias("n")), "cls")
+        dealt = left.join(known, "cls").withColumn("block", F.pmod(F.xxhash64("cls"), F.ceil(F.col("m") / BLOCK)).cast("int"))
+        lists = [F.collect_list(c).alias(c) for c in PARTS]
+        named = lambda df, side: df.select("band", F.col("block").alias(f"{side}_block"), *[F.col(c).alias(f"{side}_{c}") for c in PARTS])
         inner = named(dealt.groupBy("band", "block").agg(*lists), "inner")
         outer = named(dealt.filter("part <> main").groupBy("band", "block").agg(*lists), "outer")
         pairs = outer.join(inner, "band").repartition("band", "outer_block", "inner_block")
-        return pairs.mapInArrow(in_blocks(self.percent / 100, best), "a binary, b binary")
+        return pairs.mapInArrow(in_blocks(self.percent), "a binary, b binary")
 
 
 def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -329,14 +371,11 @@ def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
     members = materialise(spark, members, "members")
     finder = Finder(spark, texts, classes, words, percent)
     finder.verify(members.filter("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), "0")
-    members = members.select("band", "cls")
-
-    # What no hub joins: first with the likeliest of its band, then with all of it.
-    for best in (True, False):
-        left = finder.parts(members)
-        if not left.limit(1).count():
-            break
-        finder.verify(finder.blocks(left, best), "best" if best else "rest")
+
+    # What no hub joins: all other members of a band, if they are in several components.
+    left = finder.parts(members.filter("m > 2 AND cls <> hub").select("band", "cls"))
+    if left.limit(1).count():
+        finder.verify(finder.blocks(left), "rest")
 
     if finder.links is None:
         ends = classes.select("cls", F.col("cls").alias("part"))
