@@ -11,7 +11,7 @@ first in one of ``HUBS`` orders, so a class that shares many bands with a group
 several of its members. Wherever the members of a band still span several components, those
 outside the largest are compared with all others, by finer sketches and in blocks; what
 met its hub before is not compared again. Two blocks propose no pair of classes that other
-links of theirs connect. So no link between different components of one band is missed,
+verified links of theirs connect. So no link between different components of one band is missed,
 and groups of copies stay linear.
 
 Cases: null texts and texts without words have the empty set and link with nothing; a text
@@ -59,8 +59,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 STEP = 0x9E3779B97F4A7C15 | 1
 BACK = pow(STEP, -1, 1 << 64)
-#: What a block lists of each class.
-PARTS = ("cls", "sketch", "own", "part", "n")
+#: Columns of the rows that blocks are compared by.
+CELL = ("band", "outer", "inner", "role", "cls", "sketch", "own", "part", "n")
 
 
 def geometric(step: int, n: int) -> np.ndarray:
@@ -166,7 +166,7 @@ def sketcher(words: int):
 
 
 def fine_sketcher(words: int):
-    """Of each text the finer sketch, and the whole set if it is small (else empty)."""
+    """Of each text with a small set the sketch and the set, of others the finer sketch and nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words)
@@ -174,8 +174,14 @@ def fine_sketcher(words: int):
             texts = [t.lower() for t in batch.column(1).cast(pa.binary()).to_pylist()]
             for at, to in by_bytes(texts):
                 sets = [np.unique(s) for s in shingles(texts[at:to])]
+                sketch: list[bytes] = [b""] * len(sets)
+                for registers in (REGISTERS, FINE):
+                    some = [k for k, s in enumerate(sets) if (len(s) <= WHOLE) == (registers == REGISTERS)]
+                    if some:
+                        for k, row in zip(some, sketches([sets[k] for k in some], registers)):
+                            sketch[k] = row.tobytes()
                 own = [s.tobytes() if len(s) <= WHOLE else b"" for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array([r.tobytes() for r in sketches(sets, FINE)], pa.binary()), pa.array(own, pa.binary())], names=["cls", "sketch", "own"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(sketch, pa.binary()), pa.array(own, pa.binary())], names=["cls", "sketch", "own"])
 
     return run
 
@@ -254,38 +260,55 @@ class Joined:
         self.up[self.root(x)] = self.root(y)
 
 
-def in_blocks(percent: int):
-    """Rows of block pairs: outer (cls, sketch, own, part, n) lists against inner ones. Gives
-    links of small sets that connect all components they can, verified here, and the pairs of
-    other components that may hold where a set is large."""
-    columns = [f"{side}_{c}" for side in ("outer", "inner") for c in PARTS]
+def in_cells(percent: int):
+    """Rows (band, outer, inner, role, cls, sketch, own, part, n) sorted by cell: the first three.
+
+    Compares a cell's outer classes (role 1) with its inner ones (role 2); a class may be
+    both (3). Gives links of small sets that connect all components they can, verified
+    here, and the pairs of other components that may hold where a set is large. Holds one
+    cell at a time, of about two blocks at most.
+    """
+    coarse, fine = (least_estimate(percent / 100, r) for r in (REGISTERS, FINE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
         for batch in batches:
-            for at in range(batch.num_rows):
-                yield one(*(batch.column(n)[at].as_py() for n in columns))
-
-    def one(oc, os, oo, op, on, ic, is_, io, ip, in_) -> pa.RecordBatch:
-        sizes, joined, a, b, open_ = np.array(in_), Joined(), [], [], []
-        x, y = (np.frombuffer(b"".join(s), "<u2").reshape(len(s), -1) for s in (os, is_))
-        outer, inner = ([np.frombuffer(s, np.uint64) for s in own] for own in (oo, io))
-        least = least_estimate(percent / 100, x.shape[1])
-        for k in range(len(oc)):
-            near = (estimate(x[k], y) >= least) & (100 * np.minimum(sizes, on[k]) >= percent * np.maximum(sizes, on[k]))
-            for j in np.flatnonzero(near):
-                if joined.root(op[k]) == joined.root(ip[j]):
+            found: list[tuple[bytes, bytes]] = []
+            for row in zip(*(batch.column(n).to_pylist() for n in CELL)):
+                if row[:3] != key:
+                    found += pairs(held)
+                    key, held = row[:3], []
+                held.append(row[3:])
+            yield table(found)
+        yield table(pairs(held))
+
+    def table(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    def pairs(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
+        outer, inner = ([k for k, r in enumerate(rows) if r[0] & side] for side in (1, 2))
+        if not outer or not inner:
+            return []
+        _, cls, sketch, own, part, n = zip(*rows)
+        x = np.frombuffer(b"".join(s[: 2 * REGISTERS] for s in sketch), "<u2").reshape(len(rows), -1)
+        y, places, sets = x[inner], np.array(inner), [np.frombuffer(s, np.uint64) for s in own]
+        sizes, joined, links, open_ = np.array(n)[inner], Joined(), [], []
+        for k in outer:
+            near = (estimate(x[k], y) >= coarse) & (100 * np.minimum(sizes, n[k]) >= percent * np.maximum(sizes, n[k]))
+            for j in places[near]:
+                if joined.root(part[k]) == joined.root(part[j]):
                     continue
-                if not len(outer[k]) or not len(inner[j]):
+                if not own[k] or not own[j]:
                     open_.append((k, j))
-                elif holds(outer[k], inner[j], percent):
-                    joined.join(op[k], ip[j])
-                    a.append(oc[k])
-                    b.append(ic[j])
+                elif holds(sets[k], sets[j], percent):
+                    joined.join(part[k], part[j])
+                    links.append((cls[k], cls[j]))
         for k, j in open_:
-            if joined.root(op[k]) != joined.root(ip[j]):
-                a.append(oc[k])
-                b.append(ic[j])
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            if joined.root(part[k]) == joined.root(part[j]):
+                continue
+            if own[k] or own[j] or estimate(np.frombuffer(sketch[k], "<u2"), np.frombuffer(sketch[j], "<u2")) >= fine:
+                links.append((cls[k], cls[j]))
+        return links
 
     return run
 
@@ -344,13 +367,16 @@ class Finder:
         fine = materialise(self.spark, text.mapInArrow(fine_sketcher(self.words), "cls binary, sketch binary, own binary"), "fine")
         discard(self.spark, text)
         known = fine.join(self.classes.select("cls", F.col("n_shingles").alias("n")), "cls")
-        dealt = left.join(known, "cls").withColumn("block", F.pmod(F.xxhash64("cls"), F.ceil(F.col("m") / BLOCK)).cast("int"))
-        lists = [F.collect_list(c).alias(c) for c in PARTS]
-        named = lambda df, side: df.select("band", F.col("block").alias(f"{side}_block"), *[F.col(c).alias(f"{side}_{c}") for c in PARTS])
-        inner = named(dealt.groupBy("band", "block").agg(*lists), "inner")
-        outer = named(dealt.filter("part <> main").groupBy("band", "block").agg(*lists), "outer")
-        pairs = outer.join(inner, "band").repartition("band", "outer_block", "inner_block")
-        return pairs.mapInArrow(in_blocks(self.percent), "a binary, b binary")
+        # Cells of outer and inner blocks; each class goes once to every cell that needs it.
+        blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+        own = lambda n: F.pmod(F.xxhash64("cls"), blocks(n)).cast("int")
+        dealt = left.withColumn("rest", F.col("m") - F.col("n_main")).select("band", "cls", "part", (F.col("part") != F.col("main")).alias("is_outer"), blocks("m").alias("n_inner"), blocks("rest").alias("n_outer"), own("m").alias("at_inner"), own("rest").alias("at_outer"))
+        cell = "named_struct('outer', {}, 'inner', {}, 'role', {})"
+        across = "transform(sequence(0, n_inner - 1), i -> " + cell.format("at_outer", "i", "if(i = at_inner, 3, 1)") + ")"
+        down = "transform(filter(sequence(0, n_outer - 1), o -> NOT is_outer OR o <> at_outer), o -> " + cell.format("o", "at_inner", "2") + ")"
+        cells = dealt.select("band", "cls", "part", F.explode(F.expr(f"if(is_outer, concat({across}, {down}), {down})")).alias("c")).select("band", "c.*", "cls", "part")
+        rows = cells.join(known, "cls").select(*CELL).repartition("band", "outer", "inner").sortWithinPartitions("band", "outer", "inner")
+        return rows.mapInArrow(in_cells(self.percent), "a binary, b binary")
 
 
 def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
