@@ -251,6 +251,12 @@ def short_sequences(spark, d):
     return s.select("id", F.col("s.value").alias("values"))
 
 
+def sequences(spark, d):
+    """All recordings with all their frames."""
+    s = tb.frames(spark, d).groupBy(F.col("recording").alias("id")).agg(F.array_sort(F.collect_list(F.struct("frame", "value"))).alias("s"))
+    return s.select("id", F.col("s.value").alias("values"))
+
+
 def dtw_sql() -> str:
     """Anti-diagonals: each step holds the cells of diagonals k and k - 1."""
     return f"""WITH RECURSIVE {FRAMES},
@@ -270,16 +276,31 @@ def dtw_pairs(spark, d):
     return sq.dtw_pairs(short_sequences(spark, d)).withColumn("dtw", F.round("dtw", 4))
 
 
+@query()
+def dtw_pairs_whole(spark, d):
+    return sq.dtw_pairs(sequences(spark, d)).withColumn("dtw", F.round("dtw", 4))
+
+
 @query()
 def dtw_pairs_path(spark, d):
     return sq.dtw_pairs(short_sequences(spark, d), norm="path").withColumn("dtw", F.round("dtw", 4))
 
 
+@query()
+def dtw_pairs_path_whole(spark, d):
+    return sq.dtw_pairs(sequences(spark, d), norm="path").withColumn("dtw", F.round("dtw", 4))
+
+
 @query()
 def dtw_pairs_length(spark, d):
     return sq.dtw_pairs(short_sequences(spark, d), norm="length").withColumn("dtw", F.round("dtw", 4))
 
 
+@query()
+def dtw_pairs_length_whole(spark, d):
+    return sq.dtw_pairs(sequences(spark, d), norm="length").withColumn("dtw", F.round("dtw", 4))
+
+
 DIST = "sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))))"
 
 
@@ -320,18 +341,16 @@ def nearest_medoid(spark, d):
 
 def distance_matrix(pairs: DataFrame) -> tuple[list[int], np.ndarray]:
     """A small pair table (clusters, or a filtered pool) as a matrix on the driver."""
-    rows = pairs.collect()
-    ids = sorted({r[0] for r in rows} | {r[1] for r in rows})
-    at = {x: k for k, x in enumerate(ids)}
+    a, b, x = (c.to_numpy() for _, c in pairs.toPandas().items())
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
     m = np.zeros((len(ids), len(ids)))
-    for a, b, x in rows:
-        m[at[a], at[b]] = m[at[b], at[a]] = x
-    return ids, m
+    m[at[: len(a)], at[len(a) :]] = m[at[len(a) :], at[: len(a)]] = x
+    return ids.tolist(), m
 
 
 @query()
 def kmedoids_leaves(spark, d):
-    ids, m = distance_matrix(sq.dtw_pairs(short_sequences(spark, d)))
+    ids, m = distance_matrix(sq.dtw_pairs(sequences(spark, d)))
     return spark.createDataFrame([(ids[k],) for k in clusters.leaves(m)], "medoid bigint")
 
 
