@@ -301,6 +301,11 @@ def dtw_pairs_length_whole(spark, d):
     return sq.dtw_pairs(sequences(spark, d), norm="length").withColumn("dtw", F.round("dtw", 4))
 
 
+def all_vectors(spark, d):
+    """Every vector of each label."""
+    return tb.vec_frames(spark, d).select(F.col("vec_id").alias("id"), F.col("recording").alias("grp"), F.col("embedding").alias("v"))
+
+
 DIST = "sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))))"
 
 
@@ -312,6 +317,37 @@ def grouped_vectors(spark, d):
 GROUPED = f"WITH {VECS}, g AS MATERIALIZED (SELECT vec_id AS id, recording AS grp, v FROM (SELECT vec_id, label AS recording, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings) WHERE rn <= 40), half AS (SELECT a.id AS anchor, b.id AS comparison, a.grp AS gi, b.grp AS gj, {DIST} AS d FROM g a JOIN g b ON a.id < b.id), pairs AS (SELECT * FROM half UNION ALL SELECT comparison, anchor, gj, gi, d FROM half)"
 
 
+# The same over every vector, where GROUPED has forty of each label.
+WHOLE = f"WITH {VECS}, g AS MATERIALIZED (SELECT vec_id AS id, recording AS grp, v FROM vecs), pairs AS (SELECT a.id AS anchor, b.id AS comparison, a.grp AS gi, b.grp AS gj, {DIST} AS d FROM g a, g b)"
+WHOLE_MEDOIDS = WHOLE + ", t AS (SELECT gi AS grp, anchor, round(sum(d), 6) AS total FROM pairs WHERE gi = gj GROUP BY gi, anchor), medoids AS (SELECT grp, anchor AS medoid FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY total, anchor) AS k FROM t) WHERE k = 1)"
+
+
+@query(WHOLE_MEDOIDS + " SELECT grp, medoid FROM medoids")
+def cluster_medoids_whole(spark, d):
+    return clusters.whole_medoids(all_vectors(spark, d))
+
+
+@query(WHOLE + " SELECT gi AS model_i, gj AS model_j, round(min(d), 4) AS single, round(max(d), 4) AS complete, round(avg(d), 4) AS average FROM pairs WHERE gi <> gj GROUP BY gi, gj")
+def submodel_linkages_whole(spark, d):
+    out = clusters.whole_linkages(all_vectors(spark, d))
+    return out.select("model_i", "model_j", *[F.round(c, 4).alias(c) for c in ("single", "complete", "average")])
+
+
+@query(WHOLE + ", r AS (SELECT gi // 2 AS root_i, gj // 2 AS root_j, d FROM pairs) SELECT root_i, root_j, round(min(d), 4) AS single, round(max(d), 4) AS complete, round(avg(d), 4) AS average FROM r WHERE root_i <> root_j GROUP BY root_i, root_j")
+def merged_linkage_whole(spark, d):
+    g = all_vectors(spark, d)
+    groups = g.groupBy(F.col("grp").alias("model")).agg(F.floor(F.first("grp") / 2).cast("int").alias("root"), F.count(F.lit(1)).alias("hits"))
+    out = clusters.merged_linkage(clusters.whole_linkages(g), groups)
+    return out.select("root_i", "root_j", *[F.round(c, 4).alias(c) for c in ("single", "complete", "average")])
+
+
+@query(WHOLE_MEDOIDS + f", c AS (SELECT g.grp AS centre, v FROM g JOIN medoids ON medoid = id), r AS (SELECT a.id, b.centre, round({DIST}, 6) AS d FROM g a, c b) SELECT id, centre, d FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, centre) AS k FROM r) WHERE k = 1")
+def nearest_medoid_whole(spark, d):
+    g = all_vectors(spark, d)
+    m = clusters.whole_medoids(g).select(F.col("grp").alias("centre"), F.col("medoid").alias("id"))  # one per label
+    return clusters.nearest(g, g.join(F.broadcast(m), "id").select(F.col("centre").alias("id"), "v"))
+
+
 @query(GROUPED + ", t AS (SELECT gi AS grp, anchor, round(sum(d), 6) AS total FROM pairs WHERE gi = gj GROUP BY gi, anchor) SELECT grp, anchor AS medoid FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY total, anchor) AS k FROM t) WHERE k = 1")
 def cluster_medoids(spark, d):
     g = grouped_vectors(spark, d)
@@ -356,8 +392,7 @@ def kmedoids_leaves(spark, d):
 
 @query()
 def greedy_seriation(spark, d):
-    g = grouped_vectors(spark, d)
-    links = clusters.linkages(clusters.vector_pairs(g), g).select("model_i", "model_j", F.round("average", 6).alias("d"))
+    links = clusters.whole_linkages(all_vectors(spark, d)).select("model_i", "model_j", F.round("average", 6).alias("d"))
     ids, m = distance_matrix(links)
     return spark.createDataFrame([(k, ids[x]) for k, x in enumerate(clusters.seriate(m))], "place int, model int")
 
