@@ -609,6 +609,28 @@ def column_cleanliness(spark, d):
     return g.filter("n >= 2")
 
 
+# The same over all columns
+
+MSA_WHOLE = f"WITH {FRAMES}, m AS (SELECT recording, frame, label = 'NOISE' AS gap, lag(label) OVER (PARTITION BY recording ORDER BY frame) = 'NOISE' AS before, value FROM frames)"
+
+
+def msa_whole(spark, d):
+    m = tb.frames(spark, d).withColumn("gap", F.col("label") == "NOISE")
+    return m.withColumn("before", F.lag("gap").over(fr.by_frame()))
+
+
+@query(MSA_WHOLE + " SELECT count(*) FILTER (gap AND NOT coalesce(before, false)) AS opens, count(*) FILTER (gap AND coalesce(before, false)) AS extends, count(*) FILTER (gap) AS total FROM m")
+def msa_gap_metrics_whole(spark, d):
+    old = F.coalesce("before", F.lit(False))
+    return msa_whole(spark, d).agg(F.count_if(F.col("gap") & ~old).alias("opens"), F.count_if(F.col("gap") & old).alias("extends"), F.count_if(F.col("gap")).alias("total"))
+
+
+@query(MSA_WHOLE + " SELECT frame, round(var_pop(value), 4) AS variance, count(*) AS n FROM m WHERE NOT gap GROUP BY frame HAVING count(*) >= 2")
+def column_cleanliness_whole(spark, d):
+    g = msa_whole(spark, d).filter(~F.col("gap")).groupBy("frame").agg(F.round(F.var_pop("value"), 4).alias("variance"), F.count(F.lit(1)).alias("n"))
+    return g.filter("n >= 2")
+
+
 @query(f"""WITH {RUNS}, g AS (SELECT recording, count(*) FILTER (label = 'NOISE') AS gaps, count(*) AS n FROM frames GROUP BY recording)
 SELECT g.recording, round(gaps * 100.0 / g.n, 6) AS gap_percent, coalesce(max(r.n) FILTER (r.label = 'NOISE'), 0) AS longest_gap FROM g JOIN runs r USING (recording) GROUP BY g.recording, gaps, g.n""")
 def seq_gap_stats(spark, d):
