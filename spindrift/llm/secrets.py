@@ -23,7 +23,7 @@ KINDS = ["assign", "access", "hex"]
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"  # a run of capitals and digits is taken whole, so 16 in all is a lower bound on it
 HEX = r"[0-9a-f]{32,}"
-OPAQUE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,200}+(?![A-Za-z0-9+/_-])"
+OPAQUE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+(?![A-Za-z0-9+/_-])"
 
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 
