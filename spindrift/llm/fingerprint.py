@@ -89,7 +89,9 @@ def smallest(names: np.ndarray) -> str:
     """The ``KEEP`` smallest distinct hashes, 8 hex digits each."""
     top = (names >> np.uint64(32)).astype(">u4")
     if len(top) > 4 * KEEP:
-        top = top[top <= np.partition(top, 3 * KEEP)[3 * KEEP]] if len(np.unique(top[: 4 * KEEP])) > KEEP else top
+        low = np.unique(top[top <= np.partition(top, 3 * KEEP)[3 * KEEP]])
+        if len(low) >= KEEP:
+            return low[:KEEP].astype(">u4").tobytes().hex()
     kept = np.unique(top)
     return kept[:KEEP].astype(">u4").tobytes().hex()
 
