@@ -1,15 +1,14 @@
 """Personal data: patterned entities, and terms that reveal them by co-occurrence.
 
 Entities (mail and network addresses, card and phone numbers) are found with fixed
-patterns. Around each mention, terms within ``reach`` words count as its context. Over
-the whole corpus, with N rows, an entity c in n_c rows, a term t in n_t rows and both in
-context in n_ct rows, the disclosure of c by t is
+patterns. Over the whole corpus, with N rows, an entity c in n_c rows, a term t in n_t
+rows and both anywhere in n_ct rows, the disclosure of c by t is
 
     PMI(c; t) / IC(c) = log(N n_ct / (n_c n_t)) / log(N / n_c)
 
 which is 1 where t is seen with c alone. With the support of ``min_support`` distinct
-texts, a term at ``remove_at`` or above is removed near a mention of that entity, one at
-``generalise_at`` or above gives way to its class (number of letters and case).
+texts, a term at ``remove_at`` or above is removed wherever it stands in the rows that
+hold that entity, one at ``generalise_at`` or above gives way to ``[TERM]``.
 
 Cases: a null text counts as empty; empty texts have no spans; texts of any length are
 read whole in linear time; repeated rows give equal results and, as one text, support
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import lookup, materialise, read_table, small_batches, text_or_empty
+from spindrift.llm.common import lookup, materialise, may_hold, read_table, small_batches, text_or_empty
 
 # The base kinds in their order.
 KINDS = ["email", "ip", "card", "phone"]
@@ -97,36 +96,76 @@ def entity(kind: int, value: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{plain}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def context(text: str, start: int, end: int, taken: list[tuple[int, int, int]], reach: int) -> list[tuple[str, int, int]]:
-    """Up to ``reach`` terms on either side, none of which touches a base span."""
-    width = 24 * reach
-    low, high = max(0, start - width), min(len(text), end + width)
-    while 0 < low < start and text[low - 1].isalpha() and text[low].isalpha():  # not from within a word
-        low += 1
-    left, right = list(TERM.finditer(text, low, start))[-reach:], []
-    for m in TERM.finditer(text, end, high):
-        if len(right) == reach or m.end() == high < len(text) and text[high].isalpha():
-            break
-        right.append(m)
-    near = [(a, b) for _, a, b in taken if a < high and b > low]
-    return [(m[0].lower(), *m.span()) for m in left + right if not any(a < m.end() and m.start() < b for a, b in near)]
-
+def places(text: str) -> dict[str, list[tuple[int, int]]]:
+    """Where each term of a text stands, but for those that touch a base span."""
+    out: dict[str, list[tuple[int, int]]] = {}
+    taken = sorted((a, b) for _, a, b in base_spans(text))
+    at, reached = 0, 0
+    for m in TERM.finditer(text):
+        while at < len(taken) and taken[at][0] < m.end():
+            reached = max(reached, taken[at][1])
+            at += 1
+        if m.start() >= reached:
+            out.setdefault(m[0].lower(), []).append(m.span())
+    return out
+
+
+SCAN = pa.schema([("id", pa.int64()), ("tkey", pa.int64()), ("spans", pa.list_(pa.struct([("rank", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))), ("entities", pa.list_(pa.int64()))])
+SCAN_DDL = "id bigint, tkey bigint, spans array<struct<rank:int,start:int,end:int>>, entities array<bigint>"
+
+
+def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        spans, entities = [], []
+        for text in batch.column(2).to_pylist():
+            found = base_spans(text)
+            spans.append([{"rank": k, "start": a, "end": b} for k, a, b in found])
+            entities.append(list({entity(k, text[a:b]) for k, a, b in found}))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, SCAN.field(2).type), pa.array(entities, SCAN.field(3).type)], schema=SCAN)
+
+
+def pair_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts (entity, term, rows, texts) over distinct texts (text, rows, entities)."""
+    rows, support = Counter(), Counter()
+
+    def give():
+        keys = list(support)
+        return pa.RecordBatch.from_arrays([pa.array([e for e, _ in keys], pa.int64()), pa.array([t for _, t in keys], pa.string()), pa.array([rows[k] for k in keys], pa.int64()), pa.array([support[k] for k in keys], pa.int64())], names=["entity", "term", "n_ct", "support"])
+
+    for batch in batches:
+        for text, n, entities in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            terms = list(places(text))
+            for e in entities:
+                for t in terms:
+                    rows[e, t] += n
+                    support[e, t] += 1
+                if len(support) > FLUSH:
+                    yield give()
+                    rows.clear()
+                    support.clear()
+    if support:
+        yield give()
 
-SCAN = pa.schema([("id", pa.int64()), ("tkey", pa.int64()), ("spans", pa.list_(pa.struct([("rank", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))), ("mentions", pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))])
-SCAN_DDL = "id bigint, tkey bigint, spans array<struct<rank:int,start:int,end:int>>, mentions array<struct<entity:bigint,term:string,start:int,end:int>>"
 
+def pair_finder(bits: bytes):
+    """Where terms stand (tkey, rows, entity, term, start, end) whose pair's hash is in the filter."""
 
-def scanner(reach: int):
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(np.frombuffer(bits, np.uint8)).tobytes()
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32()]
         for batch in batches:
-            spans, mentions = [], []
-            for text in batch.column(2).to_pylist():
-                found = base_spans(text)
-                spans.append([{"rank": k, "start": a, "end": b} for k, a, b in found])
-                mentions.append([{"entity": entity(k, text[a:b]), "term": t, "start": x, "end": y} for k, a, b in found for t, x, y in context(text, a, b, found, reach)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, SCAN.field(2).type), pa.array(mentions, SCAN.field(3).type)], schema=SCAN)
+            for tkey, text, n, entities in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                out = [(tkey, n, e, t, a, b) for t, spots in places(text).items() for e in entities if wanted[zlib.crc32(f"{e}:{t}".encode()) % FILTER_BITS] for a, b in spots]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), types)], names=["tkey", "rows", "entity", "term", "start", "end"])
 
-    return scan
+    return find
+
+
+def filter_of(table: DataFrame, key) -> bytes:
+    marked = np.zeros(FILTER_BITS, np.uint8)
+    marked[[r[0] for r in table.select((F.crc32(key.cast("binary")) % FILTER_BITS).alias("h")).distinct().collect()]] = 1  # 2**20 numbers at most
+    return np.packbits(marked).tobytes()
 
 
 def term_counter(bits: bytes):
@@ -147,40 +186,42 @@ def term_counter(bits: bytes):
     return count
 
 
-def find_pii(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 8, min_support: int = 3, generalise_at: float = 0.7, remove_at: float = 0.95) -> DataFrame:
+def find_pii(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_support: int = 3, generalise_at: float = 0.7, remove_at: float = 0.95) -> DataFrame:
     """One row per row of ``df``: id, tkey, spans (base, by kind and start), terms (start, end, remove)."""
     text = text_or_empty(text_col)
     raw = df.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("tkey"), text.alias("text"))
-    rows = materialise(spark, raw.mapInArrow(scanner(reach), SCAN_DDL), "pii-scan")
+    rows = materialise(spark, raw.mapInArrow(scan, SCAN_DDL), "pii-scan")
     n_rows = rows.count()
 
-    near = rows.filter(F.size("mentions") > 0).select("id", "tkey", F.explode("mentions").alias("m")).select("id", "tkey", "m.*")
-    per_row = near.groupBy("entity", "term", "id", "tkey").agg(F.count(F.lit(1)).alias("n"))
-    per_text = per_row.groupBy("entity", "term", "tkey").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_ct"))
-    pairs = per_text.groupBy("entity", "term").agg(F.sum("n").alias("n"), F.sum("n_ct").alias("n_ct"), F.count(F.lit(1)).alias("support"))
+    # Only entities with min_support texts can have terms with that support.
+    held = rows.select("id", "tkey", F.explode("entities").alias("entity")).distinct()
+    held = materialise(spark, held.groupBy("entity", "tkey").agg(F.count(F.lit(1)).alias("rows")), "pii-held")
+    entities = held.groupBy("entity").agg(F.sum("rows").alias("n_c"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= min_support)
+    entities = materialise(spark, entities, "pii-entities")
+    kept = lookup(held, entities, "entity", "texts", held.count()).filter("n_c IS NOT NULL")
+    kept = materialise(spark, kept.groupBy("tkey").agg(F.first("rows").alias("rows"), F.collect_list("entity").alias("entities")), "pii-kept")
+    own = may_hold(raw.select("tkey", "text"), "tkey", kept.select("tkey")).groupBy("tkey").agg(F.first("text").alias("text"))
+    own = materialise(spark, own.join(kept, "tkey").select("tkey", "text", "rows", "entities"), "pii-texts")
+
+    pairs = own.select("text", "rows", "entities").mapInArrow(pair_counter, "entity bigint, term string, n_ct bigint, support bigint")
+    pairs = pairs.groupBy("entity", "term").agg(F.sum("n_ct").alias("n_ct"), F.sum("support").alias("support"))
     pairs = materialise(spark, pairs.filter(F.col("support") >= min_support), "pii-pairs")
-    entities = near.groupBy("entity", "id", "tkey").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
-
-    crc = F.crc32(F.col("term").cast("binary")) % FILTER_BITS
-    marked = np.zeros(FILTER_BITS, np.uint8)
-    marked[[r[0] for r in pairs.select(crc.alias("h")).distinct().collect()]] = 1  # 2**20 numbers at most
-    none = "term string, n bigint"
-    if marked.any():
-        df_t = raw.select("text").mapInArrow(term_counter(np.packbits(marked).tobytes()), none).groupBy("term").agg(F.sum("n").alias("n_t"))
-    else:
-        df_t = spark.createDataFrame([], "term string, n_t bigint")
+    df_t = raw.select("text").mapInArrow(term_counter(filter_of(pairs, F.col("term"))), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n_t"))
     known = pairs.join(df_t, "term").join(entities, "entity")
     pmi = F.log(F.lit(float(n_rows)) * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
     ic = F.log(F.lit(float(n_rows)) / F.col("n_c"))
     known = known.withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(0.0)).filter(F.col("disclosure") >= generalise_at)
-    known = materialise(spark, known.select(F.xxhash64("entity", "term").alias("pair"), F.col("entity").alias("e"), F.col("term").alias("t"), "n", (F.col("disclosure") >= remove_at).alias("remove")), "pii-terms")
-
-    spots = near.withColumn("pair", F.xxhash64("entity", "term"))
-    n_spots = spots.count()
-    told = lookup(spots, known, "pair", "n", n_spots).filter((F.col("entity") == F.col("e")) & (F.col("term") == F.col("t")))
-    terms = told.groupBy("id", "tkey", "start", "end").agg(F.max("remove").alias("remove"))
-    terms = terms.groupBy(F.col("id").alias("_id"), F.col("tkey").alias("_tkey")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "remove"))).alias("terms"))
-    both = rows.drop("mentions").join(terms, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tkey") == F.col("_tkey")), "left")
+    known = materialise(spark, known.select("entity", "term", (F.col("disclosure") >= remove_at).alias("remove")), "pii-terms")
+
+    bits = filter_of(known, F.concat_ws(":", F.col("entity").cast("string"), "term"))
+    spots = own.mapInArrow(pair_finder(bits), "tkey bigint, rows bigint, entity bigint, term string, start int, end int")
+    spots = materialise(spark, spots.withColumn("pair", F.xxhash64("entity", "term")), "pii-spots")
+    weights = spots.groupBy("pair", "entity", "term").agg(F.count(F.lit(1)).alias("n"))
+    known = known.join(weights, ["entity", "term"]).select("pair", F.col("entity").alias("e"), F.col("term").alias("t"), "n", "remove")
+    told = lookup(spots, known, "pair", "n", spots.count()).filter((F.col("entity") == F.col("e")) & (F.col("term") == F.col("t")))
+    terms = told.groupBy("tkey", "rows", "start", "end").agg(F.max("remove").alias("remove"))
+    terms = terms.groupBy("tkey", "rows").agg(F.array_sort(F.collect_list(F.struct("start", "end", "remove"))).alias("terms"))
+    both = lookup(rows.drop("entities"), materialise(spark, terms, "pii-told"), "tkey", "rows", n_rows)
     empty = F.array().cast("array<struct<start:int,end:int,remove:boolean>>")
     return both.select("id", "tkey", "spans", F.coalesce("terms", empty).alias("terms"))
 
