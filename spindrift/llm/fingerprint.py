@@ -6,7 +6,7 @@ before it) to a few labels, and cuts phrases at the labels' local maxima. A phra
 is a hash of what it holds. Cuts depend on a few neighbours only, so equal substrings get
 equal names in their interior, wherever they stand. A fingerprint keeps, for three levels,
 the ``KEEP`` smallest distinct phrase hashes; likeness is the bottom-k estimate of the
-Jaccard index at the highest level where both have enough phrases.
+Jaccard index at the highest level where both have enough phrases, whatever their sizes.
 
 Cases: a null text counts as empty; two empty texts have likeness 1, an empty and another
 0; texts of any length are parsed whole; equal texts have equal fingerprints; rows with
@@ -30,8 +30,6 @@ KEEP = 64
 LEVELS = 3
 #: A level counts if both texts have this many phrases in it.
 ENOUGH = 6
-#: Phrases of the lowest level are kept only for texts of at most this many code points.
-SHORT = 400
 #: Code points parsed at a time, so that the arrays stay in the processor's caches.
 BLOCK = 1 << 17
 
@@ -107,10 +105,10 @@ def fingerprints(texts: list[str]) -> list[str]:
         names = np.frombuffer("".join(texts[k] for k in some).encode("utf-32-le"), "<u4").astype(np.uint64)
         starts = np.cumsum([0] + [len(texts[k]) for k in some[:-1]])
         parts: list[list[str]] = [[] for _ in some]
-        for level in range(LEVELS):
+        for _ in range(LEVELS):
             names, starts = parse(names, starts)
-            for part, k, a, b in zip(parts, some, starts, [*starts[1:], len(names)]):
-                part.append("" if level == 0 and len(texts[k]) > SHORT else smallest(names[a:b]))
+            for part, a, b in zip(parts, starts, [*starts[1:], len(names)]):
+                part.append(smallest(names[a:b]))
         for k, part in zip(some, parts):
             out[k] = ".".join(part)
     return out
