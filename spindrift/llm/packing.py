@@ -7,7 +7,9 @@ task thus holds at most the small piece records of its partition, or ``GROUP`` b
 
 Cases: a null text counts as empty; an empty text is one piece of one token; documents
 of over ``capacity`` tokens are cut, the first piece being the shorter one; repeated rows
-are documents of their own; an empty table gives no rows; other columns are ignored.
+are documents of their own; items of equal size, and bins of equal room, go by the order
+in which they came, so which of them share a sequence is open, the number of sequences of
+one partitioning is not; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -134,7 +136,7 @@ def pack(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: s
         done.append(merged.filter("full"))
         left = merged.filter("NOT full")
         before, n = n, left.count()
-        if groups == 1 or n > 0.98 * before:
+        if groups == 1 or n >= before:
             break
     done.append(left)
     every = done[0]
