@@ -29,8 +29,8 @@ from spindrift.llm.common import read_table, remainder, small_batches, text_or_e
 
 #: Labelled rows that the model is fitted on, at most.
 MAX_LABELLED = 12_000
-#: Features occur in this many of that many rows, and in as large a share of fewer rows (four at least).
-MIN_ROWS = 20
+#: Features occur in at least this many labelled rows.
+MIN_ROWS = 5
 STEPS = 200
 THRESHOLD = 0.7
 #: Numbers that features are hashed to.
@@ -96,13 +96,13 @@ class Examples:
         self.labels.append(label)
 
 
-def fit(examples: Examples, min_rows: int | None = None, steps: int = STEPS, l2: float = 0.3) -> tuple[float, dict[int, float]]:
+def fit(examples: Examples, min_rows: int = MIN_ROWS, steps: int = STEPS, l2: float = 0.3) -> tuple[float, dict[int, float]]:
     """Bias and weights that maximise the likelihood of document labels under noisy-or (Adam, full batch)."""
     n = len(examples.labels)
     y = np.array(examples.labels, float)
     if not n or y.min() == y.max():
         return (-4.0 if not n or y[0] == 0 else 0.9), {}
-    kept = np.flatnonzero(examples.rows_with >= (min_rows or max(4, MIN_ROWS * n // MAX_LABELLED)))
+    kept = np.flatnonzero(examples.rows_with >= min_rows)
     number = np.full(SPACE, -1, np.int32)
     number[kept] = np.arange(len(kept))
     n_words = len(examples.of_word)
