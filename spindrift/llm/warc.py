@@ -3,13 +3,17 @@
 Each capture is a transaction of three records: the request and the metadata name the
 response (or revisit) that they go with in WARC-Concurrent-To. Of captures with equal
 payloads the one with the largest id is the response; the others are revisits of it.
-Archives are gzip files of whole records; a file holds a few tens of MB, so a reader task
-holds one record at a time.
+Payloads count as equal if their SHA-1 digests are. Archives are gzip files of whole
+records, of at most ``FILE_BYTES`` of payload or one capture, so a reader task holds the
+packed bytes of one such file and one record at a time.
 
 Cases: a null payload counts as empty; a null url becomes a urn of the page's id; control
 characters in urls are percent-encoded; payloads of any bytes and length are kept whole;
-rows that repeat id and payload are one capture; a null id is written as such and read as
-null; an empty table gives no archives' rows; other columns are ignored.
+each row is a capture, rows that repeat id and payload too (record ids hold the row's
+number), and all rows with the largest id of a payload are responses; a null id is below
+every other, written as such and read as null; an empty table gives no archives' rows;
+other columns are ignored. Of foreign archives all requests and metadata records of a
+capture are kept, as are repeated WARC-Concurrent-To fields.
 """
 
 from __future__ import annotations
@@ -28,6 +32,10 @@ from spindrift.llm.common import lookup, materialise, new_path, read_table, smal
 
 END = "\r\n\r\n"
 FIXED_DATE = "2024-01-01T00:00:00Z"
+#: Payload bytes in a file, but for a single larger capture.
+FILE_BYTES = 32 << 20
+#: Captures in a file.
+FILE_CAPTURES = 2048
 
 
 def crlf(*lines):
@@ -52,36 +60,45 @@ def base32_of_hex(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def write_archives(spark: SparkSession, df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = 0) -> None:
     """``df`` as WARC files under ``path``. Payloads under ``min_revisit`` bytes are all responses."""
     pages = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(url_col).alias("url"), text_or_empty(html_col).alias("html"))
-    pages = pages.withColumn("sha", F.sha1(F.col("html").cast("binary")))
-    sizes = pages.groupBy("sha").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).select("sha", "first", "n")
-    sizes = materialise(spark, sizes.mapInArrow(base32_of_hex, "sha string, first bigint, n bigint, digest string"), "payloads")
+    # A row's number depends on the scan alone, so it is the same in both uses of it and in each attempt.
+    pages = pages.withColumn("sha", F.sha1(F.col("html").cast("binary"))).withColumn("row", F.monotonically_increasing_id())
+    sizes = pages.groupBy("sha").agg(F.max(F.struct("id", "row")).alias("x"), F.count(F.lit(1)).alias("n")).select("sha", F.col("x.id").alias("first"), F.col("x.row").alias("first_row"), "n")
+    sizes = materialise(spark, sizes.mapInArrow(base32_of_hex, "sha string, first bigint, first_row bigint, n bigint, digest string"), "payloads")
     n = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     rows = lookup(pages, sizes, "sha", "n", n)
     text_id = F.coalesce(F.col("id").cast("string"), F.lit("null"))
-    urn = lambda i, kind: F.concat(F.lit("<urn:capture:"), i, F.lit(":"), F.col("digest"), F.lit(f":{kind}>"))
+    urn = lambda i, row, kind: F.concat(F.lit("<urn:capture:"), i, F.lit(":"), row.cast("string"), F.lit(":"), F.col("digest"), F.lit(f":{kind}>"))
     revisit = ~F.col("id").eqNullSafe(F.col("first")) & (F.octet_length("html") >= min_revisit)
     encoded = F.coalesce(F.col("url"), F.concat(F.lit("urn:page:"), text_id))
     for code in (0x25, 0x0D, 0x0A):
         encoded = F.replace(encoded, F.lit(chr(code)), F.lit(f"%{code:02X}"))
-    rows = rows.select("html", "digest", text_id.alias("tid"), encoded.alias("uri"), revisit.alias("revisit"), F.coalesce(F.col("first").cast("string"), F.lit("null")).alias("first"))
-    main = urn(F.col("tid"), "main")
+    rows = rows.select("html", "digest", text_id.alias("tid"), encoded.alias("uri"), revisit.alias("revisit"), F.coalesce(F.col("first").cast("string"), F.lit("null")).alias("first"), "row", "first_row")
+    own = lambda kind: urn(F.col("tid"), F.col("row"), kind)
+    main = own("main")
     http = crlf(F.lit("HTTP/1.1 200 OK"), F.lit("Content-Type: text/html; charset=utf-8"), named("Content-Length", F.octet_length("html").cast("string")))
     ask = crlf(F.lit("GET / HTTP/1.1"), F.lit("Accept: text/html"))
     about = F.concat(named("page-id", F.col("tid")), F.lit("\r\n"), named("payload-length", F.octet_length("html").cast("string")), F.lit("\r\n"))
 
-    def record(kind, own, block, *more):
-        head = [F.lit("WARC/1.0"), named("WARC-Type", kind), named("WARC-Record-ID", own), named("WARC-Date", F.lit(FIXED_DATE)), named("WARC-Target-URI", F.col("uri")), *more, named("Content-Length", F.octet_length(block).cast("string"))]
+    def record(kind, record_id, block, *more):
+        head = [F.lit("WARC/1.0"), named("WARC-Type", kind), named("WARC-Record-ID", record_id), named("WARC-Date", F.lit(FIXED_DATE)), named("WARC-Target-URI", F.col("uri")), *more, named("Content-Length", F.octet_length(block).cast("string"))]
         return F.concat(crlf(*head), block)
 
     body = F.when(F.col("revisit"), http).otherwise(F.concat(http, F.col("html")))
-    refer = F.when(F.col("revisit"), F.concat(F.lit("\r\nWARC-Refers-To: "), urn(F.col("first"), "main"), F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"))).otherwise(F.lit(""))
+    refer = F.when(F.col("revisit"), F.concat(F.lit("\r\nWARC-Refers-To: "), urn(F.col("first"), F.col("first_row"), "main"), F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"))).otherwise(F.lit(""))
     records = F.array(
-        record(F.lit("request"), urn(F.col("tid"), "request"), ask, named("WARC-Concurrent-To", main), F.lit("Content-Type: application/http; msgtype=request")),
+        record(F.lit("request"), own("request"), ask, named("WARC-Concurrent-To", main), F.lit("Content-Type: application/http; msgtype=request")),
         record(F.when(F.col("revisit"), F.lit("revisit")).otherwise(F.lit("response")), main, body, named("WARC-Payload-Digest", F.lit("sha1:"), F.col("digest"), refer), F.lit("Content-Type: application/http; msgtype=response")),
-        record(F.lit("metadata"), urn(F.col("tid"), "metadata"), about, named("WARC-Concurrent-To", main), F.lit("Content-Type: application/warc-fields")),
+        record(F.lit("metadata"), own("metadata"), about, named("WARC-Concurrent-To", main), F.lit("Content-Type: application/warc-fields")),
     )
-    each = rows.select(F.explode(records).alias("value"))
-    each.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 6000).text(path)
+    # Rows of like size share files: a task's rows are cut into slots of as many as FILE_BYTES
+    # can hold of their size's upper bound, a power of two.
+    room = FILE_BYTES // FILE_CAPTURES
+    doublings = F.greatest(F.lit(0), F.ceil(F.log2((F.octet_length("html") + 1) / room))).cast("int")
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    slotted = rows.withColumn("size", F.least(doublings, F.lit(FILE_CAPTURES.bit_length() - 1))).withColumn("place", place)
+    slotted = slotted.withColumn("slot", F.floor(F.col("place") / F.pow(F.lit(2.0), F.lit(FILE_CAPTURES.bit_length() - 1) - F.col("size"))))
+    each = slotted.select("size", "slot", F.explode(records).alias("value"))
+    each.write.option("lineSep", END).option("compression", "gzip").partitionBy("size", "slot").text(path)
 
 
 class Inflating(io.RawIOBase):
@@ -130,7 +147,9 @@ def records(stream: io.BufferedReader) -> Iterator[tuple[dict[str, str], bytes]]
             else:
                 name, _, value = text.partition(":")
                 name = name.strip().lower()
-                headers[name] = value.strip()
+                # Only this field may stand several times in a record.
+                before = headers.get(name, "") + "\n" if name == "warc-concurrent-to" and name in headers else ""
+                headers[name] = before + value.strip()
         length = int(headers["content-length"])
         block = stream.read(length)
         if len(block) != length:
@@ -138,8 +157,8 @@ def records(stream: io.BufferedReader) -> Iterator[tuple[dict[str, str], bytes]]
         yield headers, block
 
 
-RECORD = pa.schema([("type", pa.string()), ("record_id", pa.string()), ("concurrent_to", pa.string()), ("refers_to", pa.string()), ("uri", pa.string()), ("digest", pa.string()), ("page_id", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha1", pa.string()), ("payload", pa.binary())])
-RECORD_DDL = "type string, record_id string, concurrent_to string, refers_to string, uri string, digest string, page_id string, payload_bytes bigint, payload_sha1 string, payload binary"
+RECORD = pa.schema([("type", pa.string()), ("record_id", pa.string()), ("concurrent_to", pa.list_(pa.string())), ("refers_to", pa.string()), ("uri", pa.string()), ("digest", pa.string()), ("page_id", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha1", pa.string()), ("payload", pa.binary())])
+RECORD_DDL = "type string, record_id string, concurrent_to array<string>, refers_to string, uri string, digest string, page_id string, payload_bytes bigint, payload_sha1 string, payload binary"
 
 
 def parser(with_payload: bool):
@@ -157,7 +176,7 @@ def parser(with_payload: bool):
                     elif kind == "metadata":
                         fields = dict(x.split(": ", 1) for x in block.decode().split("\r\n") if ": " in x)
                         page, n = fields.get("page-id"), int(fields["payload-length"]) if "payload-length" in fields else None
-                    rows.append((kind, h.get("warc-record-id"), h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), h.get("warc-payload-digest", "").rpartition(":")[2] or None, page, n, sha, payload if with_payload else None))
+                    rows.append((kind, h.get("warc-record-id"), h["warc-concurrent-to"].split("\n") if "warc-concurrent-to" in h else [], h.get("warc-refers-to"), h.get("warc-target-uri"), h.get("warc-payload-digest", "").rpartition(":")[2] or None, page, n, sha, payload if with_payload else None))
                     size += len(payload or b"") if with_payload else 0
                     if len(rows) >= 5000 or size > 8 << 20:
                         yield give(rows)
@@ -176,14 +195,27 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = False) ->
 
 
 def assemble(found: DataFrame) -> DataFrame:
-    """One nested row per capture: the records joined by what they are concurrent to."""
-    capture = F.coalesce("concurrent_to", "record_id")
+    """One nested row per capture: the records joined by what they are concurrent to.
+
+    A response or revisit is a capture; other records belong to the capture that they name,
+    those that name several records to each of these that is a capture (without any, to the
+    first named). Requests and metadata are arrays by record id.
+    """
     fields = F.struct("record_id", "uri", "digest", "refers_to", "page_id", "payload_bytes", "payload_sha1", "payload")
-    of = lambda *kinds: F.first(F.when(F.col("type").isin(*kinds), fields), ignorenulls=True)
-    return found.groupBy(capture.alias("capture_id")).agg(
-        F.max(F.when(F.col("type").isin("response", "revisit"), F.col("type"))).alias("record_type"),
-        of("request").alias("request"), of("response", "revisit").alias("response"), of("metadata").alias("metadata"),
-    )
+    is_main = F.col("type").isin("response", "revisit")
+    rows = found.select("type", "record_id", "concurrent_to", is_main.alias("main"), fields.alias("fields"))
+    several = ~F.col("main") & (F.size("concurrent_to") > 1)
+    capture = F.when(F.col("main"), F.col("record_id")).otherwise(F.coalesce(F.get("concurrent_to", F.lit(0)), F.col("record_id")))
+    plain = rows.filter(~several).select(capture.alias("capture_id"), "type", "fields")
+    # Most records name one other, so what is left to look up is little or nothing.
+    named_by = rows.filter(several).select("type", "fields", F.explode("concurrent_to").alias("to"), F.col("concurrent_to")[0].alias("one"))
+    mains = rows.filter("main").select(F.col("record_id").alias("main_id"))
+    met = named_by.join(mains, F.col("to") == F.col("main_id"), "left").groupBy("type", "fields", "one").agg(F.collect_set("main_id").alias("ids"))
+    looked_up = met.select(F.explode(F.when(F.size("ids") > 0, F.col("ids")).otherwise(F.array("one"))).alias("capture_id"), "type", "fields")
+    of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("type") == kind, F.col("fields"))))
+    main = F.when(F.col("type").isin("response", "revisit"), F.struct(F.col("type").alias("record_type"), "fields"))
+    nested = plain.unionByName(looked_up).groupBy("capture_id").agg(F.max_by(main, F.when(F.col("type").isin("response", "revisit"), F.coalesce("fields.record_id", F.lit("")))).alias("main"), of("request").alias("request"), of("metadata").alias("metadata"))
+    return nested.select("capture_id", F.col("main.record_type").alias("record_type"), "request", F.col("main.fields").alias("response"), "metadata")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,8 +224,9 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = materialise(spark, assemble(read_records(spark, path)), "captures")
     small_batches(spark)
     refers = F.regexp_extract("response.refers_to", r"^<urn:capture:(-?[0-9]+):", 1)
+    about = F.get("metadata", F.lit(0))
     return found.select(
-        F.col("metadata.page_id").try_cast("bigint").alias("page_id"), F.coalesce("response.payload_bytes", "metadata.payload_bytes").alias("payload_bytes"),
+        about["page_id"].try_cast("bigint").alias("page_id"), F.coalesce("response.payload_bytes", about["payload_bytes"]).alias("payload_bytes"),
         F.coalesce("response.payload_sha1", "response.digest").alias("payload_digest"), "record_type",
         F.when(F.col("record_type") == "revisit", refers.try_cast("bigint")).alias("refers_to"),
     )
@@ -206,7 +239,7 @@ q AS (
     array_to_string(list_transform(range(0, 8), lambda g: array_to_string(list_transform([15, 10, 5, 0], lambda s:
       substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, g * 5 + 1, 5))::BIGINT >> s) & 31) + 1)::BIGINT, 1)), '')), '') AS payload_digest
   FROM p)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> first THEN first END AS refers_to
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
 FROM q
 """

@@ -405,8 +405,8 @@ def test_warc_records(spark, tmp_path):
     df = spark.createDataFrame([(1, "http://a/%", "<p>x"), (2, "u\r\nInjected: 1", None)], "page_id bigint, url string, html string")
     warc.write_archives(spark, df, f"file://{tmp_path}/w", min_revisit=1)
     rows = warc.read_records(spark, f"file://{tmp_path}/w", with_payload=True)
-    nested = {r.metadata.page_id: r for r in warc.assemble(rows).collect()}
-    assert bytes(nested["1"].response.payload) == b"<p>x" and nested["1"].request.uri == "http://a/%25"
+    nested = {r.metadata[0].page_id: r for r in warc.assemble(rows).collect()}
+    assert bytes(nested["1"].response.payload) == b"<p>x" and nested["1"].request[0].uri == "http://a/%25"
     assert nested["2"].record_type == "response" and nested["2"].response.uri == "u%0D%0AInjected: 1"
     import gzip, io
 
@@ -415,6 +415,49 @@ def test_warc_records(spark, tmp_path):
     assert len(found) == 3 and found[2][0]["x-long"] == "a b" and found[2][1] == b"hi"
 
 
+def test_repeated_pages_are_captures_of_their_own(spark, tmp_path):
+    pages = [(1, "u", "x"), (1, "u", "x"), (2, "u", "x"), (None, "u", "a"), (None, "u", "a"), (5, "u", "y"), (5, "u", "y")]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(2).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(warc.ORACLE_SQL).df()
+    got = run(spark, "op8_warc", str(tmp_path))
+    key = lambda df: bag(df[sorted(want)].astype(object).where(df[sorted(want)].notna(), None).itertuples(index=False))
+    assert len(got) == 7 and key(want) == key(got)
+
+
+@pytest.mark.parametrize("captures", [1, 4])
+def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch, captures):
+    monkeypatch.setattr(warc, "FILE_BYTES", 4096)
+    monkeypatch.setattr(warc, "FILE_CAPTURES", captures)
+    rng = np.random.default_rng(0)
+    pages = [(k, "u", "h" * int(n)) for k, n in enumerate([0, 1, 5, 900, 5000, 100, 3000, *rng.integers(0, 2000, 40)])]
+    warc.write_archives(spark, spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(2), f"file://{tmp_path}/w")
+    back = warc.assemble(warc.read_records(spark, f"file://{tmp_path}/w", with_payload=True)).collect()
+    assert sorted(int(r.metadata[0].page_id) for r in back) == list(range(len(pages)))
+    import glob
+    import gzip
+    import io
+
+    for f in glob.glob(f"{tmp_path}/w/**/*.gz", recursive=True):
+        sizes = [len(b.partition(b"\r\n\r\n")[2]) for h, b in warc.records(io.BytesIO(gzip.open(f).read())) if h["warc-type"] == "response"]
+        assert sum(sizes) <= 4096 or len(sizes) == 1, sizes
+
+
+def test_records_that_name_several(spark, tmp_path):
+    def rec(kind, own, *to):
+        head = [f"WARC-Type: {kind}", f"WARC-Record-ID: {own}", *(f"WARC-Concurrent-To: {x}" for x in to), "Content-Length: 0"]
+        return ("WARC/1.0\r\n" + "\r\n".join(head) + "\r\n\r\n\r\n\r\n").encode()
+
+    raw = rec("response", "r1", "q1") + rec("request", "q1", "r1") + rec("metadata", "m1", "q1", "r1") + rec("metadata", "m2", "r1") + rec("request", "q9", "x", "y")
+    import gzip
+
+    (tmp_path / "a.gz").write_bytes(gzip.compress(raw))
+    got = {r.capture_id: r for r in warc.assemble(warc.read_records(spark, f"file://{tmp_path}")).collect()}
+    assert set(got) == {"r1", "x"} and [m.record_id for m in got["r1"].metadata] == ["m1", "m2"] and [m.record_id for m in got["r1"].request] == ["q1"]
+    assert got["r1"].record_type == "response" and got["x"].response is None
+
+
 # 9: toxicity
 
 
