@@ -2,7 +2,8 @@
 
 Entities (mail and network addresses, card and phone numbers) are found with fixed
 patterns. Over the whole corpus, with N rows, an entity c in n_c rows, a term t in n_t
-rows and both anywhere in n_ct rows, the disclosure of c by t is
+rows and both anywhere in n_ct rows (each row counts in all four, repeated ones too, so a
+corpus given twice has the same disclosures), the disclosure of c by t is
 
     PMI(c; t) / IC(c) = log(N n_ct / (n_c n_t)) / log(N / n_c)
 
@@ -11,8 +12,8 @@ texts, a term at ``remove_at`` or above is removed wherever it stands in the row
 hold that entity, one at ``generalise_at`` or above gives way to ``[TERM]``.
 
 Cases: a null text counts as empty; empty texts have no spans; texts of any length are
-read whole in linear time; repeated rows give equal results and, as one text, support
-nothing; an empty table gives no rows; other columns are ignored by ``find_pii`` and kept
+read whole in linear time, as are long words; repeated rows give equal results and, as one
+text, support nothing; of terms with equal disclosure all go; an empty table gives no rows; other columns are ignored by ``find_pii`` and kept
 by ``sanitise``.
 """
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import lookup, materialise, may_hold, read_table, small_batches, text_or_empty
+from spindrift.llm.common import discard, lookup, materialise, may_hold, read_table, small_batches, text_or_empty
 
 # The base kinds in their order.
 KINDS = ["email", "ip", "card", "phone"]
@@ -194,7 +195,7 @@ def find_pii(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_co
     n_rows = rows.count()
 
     # Only entities with min_support texts can have terms with that support.
-    held = rows.select("id", "tkey", F.explode("entities").alias("entity")).distinct()
+    held = rows.select("tkey", F.explode("entities").alias("entity"))  # each once a row
     held = materialise(spark, held.groupBy("entity", "tkey").agg(F.count(F.lit(1)).alias("rows")), "pii-held")
     entities = held.groupBy("entity").agg(F.sum("rows").alias("n_c"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= min_support)
     entities = materialise(spark, entities, "pii-entities")
@@ -207,11 +208,16 @@ def find_pii(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_co
     pairs = pairs.groupBy("entity", "term").agg(F.sum("n_ct").alias("n_ct"), F.sum("support").alias("support"))
     pairs = materialise(spark, pairs.filter(F.col("support") >= min_support), "pii-pairs")
     df_t = raw.select("text").mapInArrow(term_counter(filter_of(pairs, F.col("term"))), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n_t"))
-    known = pairs.join(df_t, "term").join(entities, "entity")
+    # A common term stands beside very many entities, and a common entity beside very many terms.
+    n_pairs = pairs.count()
+    df_t = materialise(spark, df_t.join(pairs.groupBy("term").agg(F.count(F.lit(1)).alias("n_entities")), "term"), "pii-term-rows")
+    of_entity = materialise(spark, entities.select("entity", "n_c").join(pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("n_terms")), "entity"), "pii-entity-rows")
+    known = lookup(lookup(pairs, df_t, "term", "n_entities", n_pairs), of_entity, "entity", "n_terms", n_pairs)
     pmi = F.log(F.lit(float(n_rows)) * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
     ic = F.log(F.lit(float(n_rows)) / F.col("n_c"))
     known = known.withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(0.0)).filter(F.col("disclosure") >= generalise_at)
     known = materialise(spark, known.select("entity", "term", (F.col("disclosure") >= remove_at).alias("remove")), "pii-terms")
+    discard(spark, held, entities, pairs, df_t, of_entity)
 
     bits = filter_of(known, F.concat_ws(":", F.col("entity").cast("string"), "term"))
     spots = own.mapInArrow(pair_finder(bits), "tkey bigint, rows bigint, entity bigint, term string, start int, end int")
@@ -222,6 +228,7 @@ def find_pii(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_co
     terms = told.groupBy("tkey", "rows", "start", "end").agg(F.max("remove").alias("remove"))
     terms = terms.groupBy("tkey", "rows").agg(F.array_sort(F.collect_list(F.struct("start", "end", "remove"))).alias("terms"))
     both = lookup(rows.drop("entities"), materialise(spark, terms, "pii-told"), "tkey", "rows", n_rows)
+    discard(spark, own, spots)
     empty = F.array().cast("array<struct<start:int,end:int,remove:boolean>>")
     return both.select("id", "tkey", "spans", F.coalesce("terms", empty).alias("terms"))
 

@@ -31,3 +31,44 @@ def test_terms_far_from_mentions(spark):
     out = {r.id: [(rows[r.id][1][t.start : t.end], t.remove) for t in r.terms] if r.id < 5 else r.terms for r in pii.find_pii(spark, df).collect()}
     assert all(out[k] == ([("Zephyr", True), ("zephyr", True)] if k < 5 else []) for k, _ in rows)
     assert all("zephyr" not in r.text.lower() for r in pii.sanitise(spark, df).collect())
+
+
+def test_a_corpus_given_twice_discloses_the_same(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{'abcdefghij'[a]}{'klmnopqrst'[b]}" for a in range(10) for b in range(10)]
+    rows = []
+    for k in range(120):
+        own = f" mail p{k % 24}@corp.example from nick{'abcdefghijklmnopqrstuvwx'[k % 24]}zz" if k % 5 < 3 else ""
+        rows.append((k, " ".join(rng.choice(words, 12)) + own + f" {k}"))
+
+    def terms(rows):
+        df = spark.createDataFrame(rows, "doc_id bigint, text string")
+        return {r.id: [(t.start, t.end, t.remove) for t in r.terms] for r in pii.find_pii(spark, df).collect()}
+
+    once = terms(rows)
+    assert sum(map(len, once.values())) >= 24 and terms(rows + rows) == once
+    # By brute force: PMI over IC of each pair with its support.
+    import math
+    from collections import defaultdict
+
+    in_rows, with_term, support = defaultdict(set), defaultdict(set), defaultdict(set)
+    for k, text in rows:
+        found = {m.lower() for m in __import__("re").findall(r"[a-z0-9]+@corp.example", text)}
+        spots = set(pii.places(text))
+        for t in {w.lower() for w in pii.TERM.findall(text)}:
+            with_term[t].add(k)
+        for e in found:
+            in_rows[e].add(k)
+            for t in spots:
+                support[e, t].add(k)
+    n = len(rows)
+    want = {}
+    for (e, t), ks in support.items():
+        if len(ks) >= 3:
+            d = math.log(n * len(ks) / (len(in_rows[e]) * len(with_term[t]))) / math.log(n / len(in_rows[e]))
+            if d >= 0.7:
+                for k in ks:
+                    for span in pii.places(rows[k][1])[t]:
+                        key = (k, *span)
+                        want[key] = want.get(key, False) or d >= 0.95
+    assert {(k, *t) for k, ts in once.items() for t in ts} == {(*key, r) for key, r in want.items()}
