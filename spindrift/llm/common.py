@@ -23,11 +23,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (tests) is a
-    temporary folder made, which ends with the process.
+    It is the session's ``spark.checkpoint.dir``. Where that is unset, a session in one
+    process (as in tests) gets a temporary folder, which ends with it; on a cluster no folder
+    of one machine would do.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spindrift-")
         spark.conf.set("spark.checkpoint.dir", found)
         atexit.register(shutil.rmtree, found[len("file://"):], True)
@@ -59,8 +62,17 @@ def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 def discard(spark: SparkSession, *tables: DataFrame | None) -> None:
     """Delete materialised tables that nothing reads any more: all made from them is written."""
     for path in [t.written_to for t in tables if t is not None]:
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all that this application has written to the shared folder, once no result is read any more."""
+    remove(spark, f"{shared_dir(spark)}/spindrift/{spark.sparkContext.applicationId}")
 
 
 def text_or_empty(col: str = "text") -> Column:
