@@ -5,19 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import discard, materialise
+from spindrift.llm.common import discard, lookup, materialise
 
 #: Links that one task of a round handles.
 TASK = 250_000
 
 
+def follow(df: DataFrame, col: str, up: DataFrame, n: int) -> DataFrame:
+    """``df``, of ``n`` rows, with the values of ``col`` that ``up`` (x, p) has replaced by p."""
+    times = df.groupBy(F.col(col).alias("x")).agg(F.count(F.lit(1)).alias("_n"))
+    table = times.join(up, "x", "left").select(F.col("x").alias("_key"), "_n", F.col("p").alias("_to"))
+    found = lookup(df.withColumn("_key", F.col(col)), table, "_key", "_n", n)
+    return found.select(*[F.coalesce("_to", c).alias(c) if c == col else F.col(c) for c in df.columns])
+
+
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b); the component is its smallest node.
 
-    Each round gives every node the smallest node next to it, follows two such steps, and
-    contracts the links to what they point to; a component of links at least halves, so
-    rounds grow with the logarithm of its size. Self-links count; nulls must not occur.
+    Each round gives every node the smallest of itself and the nodes next to it, follows two
+    such steps, and contracts the links to what they point to. Every node with a smaller
+    neighbour is merged into it, so each component loses a node at least; chains by order
+    halve, as do random ones, and a star goes in a round or two, whatever its centre.
+    A component or a hub of any size is looked up without a hot key. Self-links count;
+    links whose end is null are left out; an empty table gives no rows.
     """
+    links = links.filter("a IS NOT NULL AND b IS NOT NULL")
     edges = materialise(spark, links.select("a", "b").distinct(), "links")
     tasks = 8 + edges.count() // TASK
     # Later rounds have fewer links still: their tables are written by as many tasks as these links need.
@@ -32,14 +44,16 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         both = edges.filter("a <> b").select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")).select("e.*")
         up = both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("p"))
         up = keep(up, f"parents-{steps}")
-        jump = up.select(F.col("x").alias("p"), F.col("p").alias("pp"))
         old.append(up)
-        up = keep(up.join(jump, "p", "left").select("x", F.coalesce("pp", "p").alias("p")), f"jumps-{steps}")
-        labels = labels.join(up, F.col("component") == F.col("x"), "left").select("node", F.coalesce("p", "component").alias("component"))
+        up = keep(follow(up, "p", up, up.count()), f"jumps-{steps}")
+        if steps == 1:  # all nodes are labelled by themselves
+            labels = labels.join(up, F.col("component") == F.col("x"), "left").select("node", F.coalesce("p", "component").alias("component"))
+        else:
+            labels = follow(labels, "component", up, labels.count())
         labels = keep(labels, f"labels-{steps}")
-        ends = up.select(F.col("x").alias("u"), F.col("p").alias("pu"))
-        moved = edges.filter("a <> b").join(ends, F.col("a") == F.col("u"), "left").select(F.coalesce("pu", "a").alias("a"), "b")
-        moved = moved.join(ends, F.col("b") == F.col("u"), "left").select("a", F.coalesce("pu", "b").alias("b"))
+        inner = edges.filter("a <> b")
+        n = inner.count()
+        moved = follow(follow(inner, "a", up, n), "b", up, n)
         edges = keep(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), f"links-{steps}")
         discard(spark, *old, up)
     return labels

@@ -17,8 +17,9 @@ and groups of copies stay linear.
 Cases: null texts and texts without words have the empty set and link with nothing; a text
 of fewer words than a shingle is one shingle; texts of any length count whole; repeated
 rows are equal sets; the component of a null id is by the other ids of its class, or null;
-an empty table gives no rows; other columns are ignored by ``near_duplicates`` and kept
-by ``deduplicate``.
+of rows that repeat id and text ``deduplicate`` leaves one, whichever, while rows of one id
+(or none) with different texts share its verdict; an empty table gives no rows; other
+columns are ignored by ``near_duplicates`` and kept by ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -94,7 +95,7 @@ class Shingles:
         first = np.searchsorted(start, np.concatenate(([0], np.cumsum(sizes))))
         k = self.words
         x = np.zeros(max(0, len(word) - k + 1), np.uint64)
-        for j in range(k):
+        for j in range(k if len(x) else 0):
             x += word[j : len(word) - k + 1 + j] * np.uint64(pow(STEP, j + 1, 1 << 64))
         x = mix(x)
         for a, b in zip(first[:-1], first[1:]):
@@ -235,13 +236,15 @@ def compare(spark: SparkSession, pairs: DataFrame, payload: DataFrame, run, name
     A hub's members are dealt by salts of ``SALT``; each salt gets one copy of the hub's
     payload, so neither a hot hub nor its copies land in one task.
     """
-    fan = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("salts"))
+    fan = materialise(spark, pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("salts")), f"{name}-fan")
     hubs = fan.join(payload, F.col("a") == F.col("cls")).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("b"), "payload")
-    hot = fan.filter("salts > 1")  # fewer than 1 / SALT of the pairs, yet not bounded: a plain join
-    ends = pairs.join(payload, F.col("b") == F.col("cls")).select("a", "b", "payload")
-    salted = ends.join(hot, "a", "left").select("a", F.coalesce(F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"), F.lit(0)).alias("salt"), F.lit(1).alias("role"), "b", "payload")
-    dealt = hubs.unionByName(salted).repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
-    return materialise(spark, dealt.mapInArrow(run, "a binary, b binary"), name)
+    # A class is the end of few pairs (one for each hub order of each of its bands), a hub of any number.
+    dealt = lookup(pairs, fan, "a", "n", fan.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]).select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
+    salted = dealt.join(payload, F.col("b") == F.col("cls")).select("a", "salt", F.lit(1).alias("role"), "b", "payload")
+    both = hubs.unionByName(salted).repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
+    out = materialise(spark, both.mapInArrow(run, "a binary, b binary"), name)
+    discard(spark, fan)
+    return out
 
 
 class Joined:
@@ -421,9 +424,14 @@ def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
 def deduplicate(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """Rows of ``df`` that stay, one of each component, with all their columns."""
     found = near_duplicates(spark, df, id_col, text_col, **limits)
-    stay = found.filter("kept").select(F.col(id_col).alias("_sd_id"), F.col("tkey").alias("_sd_tkey"))
+    stay = found.filter("kept").groupBy(F.col(id_col).alias("_sd_id"), F.col("tkey").alias("_sd_tkey")).agg(F.count(F.lit(1)).alias("_sd_n"))
+    stay = materialise(spark, stay, "staying")
     here = df.withColumn("_sd_own", F.xxhash64(text_or_empty(text_col)))
-    return here.join(stay, F.col(id_col).cast("bigint").eqNullSafe(F.col("_sd_id")) & (F.col("_sd_own") == F.col("_sd_tkey")), "left_semi").drop("_sd_own")
+    same = F.col(id_col).cast("bigint").eqNullSafe(F.col("_sd_id")) & (F.col("_sd_own") == F.col("_sd_tkey"))
+    once = here.join(stay.filter("_sd_n = 1"), same, "left_semi")
+    # One of the rows that repeat id and text, combined before their shuffle.
+    several = here.join(stay.filter("_sd_n > 1"), same, "left_semi").dropDuplicates([id_col, "_sd_own"])
+    return once.unionByName(several).drop("_sd_own")
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
