@@ -177,13 +177,34 @@ def test_best_fit():
 
 
 def test_exact_index_keeps_what_earlier_batches_hold(spark, tmp_path):
-    index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", 4)
+    index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", 4 * exact_dedup.BUCKET_ROWS)
     first = spark.createDataFrame([(1, "a"), (2, "b"), (5, "a"), (None, None)], "doc_id bigint, text string")
     second = spark.createDataFrame([(7, "a"), (8, "c"), (9, "")], "doc_id bigint, text string")
     assert {r.doc_id for r in exact_dedup.deduplicate(spark, first, index).collect()} == {2, 5, None}
     assert {r.doc_id for r in exact_dedup.deduplicate(spark, second, index).collect()} == {8}
-    again = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", 4)
-    assert again.rows().count() == 4
+    again = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index")
+    assert again.rows().count() == 4 and again.buckets == index.buckets
+
+
+def test_exact_index_is_written_anew(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "FILES", 1)
+    monkeypatch.setattr(exact_dedup, "BUCKET_ROWS", 20)
+    index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index")
+    for batch in range(4):
+        df = spark.createDataFrame([(1000 * batch + k, str(k)) for k in range(100 * batch, 100 * batch + 150)], "doc_id bigint, text string")
+        kept = sorted(r.doc_id for r in exact_dedup.deduplicate(spark, df, index).collect())
+        assert kept == [1000 * batch + k for k in range(100 * batch, 100 * batch + 150) if not batch or k >= 100 * batch + 50]
+    again = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index")
+    assert index.generation >= 1 and again.generation == index.generation and again.rows().count() == 450
+    assert again.buckets > 8 and len(again.rows().inputFiles()) <= 2 * again.buckets
+    assert sorted(p.name for p in tmp_path.glob("index/generation-*")) == [f"generation-{index.generation}"]
+
+
+@pytest.mark.parametrize("deduplicate", [exact_dedup.deduplicate, neardup.deduplicate])
+def test_one_of_the_rows_that_repeat_stays(spark, deduplicate):
+    rows = [(1, "a b c d e f", 1), (1, "a b c d e f", 2), (2, "other words here", 3), (None, "x y", 4), (None, "x y", 5), (None, "z", 6)]
+    out = deduplicate(spark, spark.createDataFrame(rows, "doc_id bigint, text string, bucket int")).collect()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter([(1, rows[0][1]), (2, rows[2][1]), (None, "x y"), (None, "z")])
 
 
 # 4: personal data

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from spindrift.llm import fingerprint, pii, secrets
+from spindrift.llm import fingerprint, neardup, pii, secrets
 
 
 def test_long_opaque_tokens_are_owned(spark):
@@ -72,3 +72,19 @@ def test_a_corpus_given_twice_discloses_the_same(spark):
                         key = (k, *span)
                         want[key] = want.get(key, False) or d >= 0.95
     assert {(k, *t) for k, ts in once.items() for t in ts} == {(*key, r) for key, r in want.items()}
+
+
+@pytest.mark.parametrize("words", range(1, 8))
+def test_few_words_alone(words):
+    texts = [b" ".join([b"w%d" % j for j in range(n)]) for n in range(words)]
+    shingles = neardup.Shingles(5)
+    alone = [next(shingles([t])).tolist() for t in texts]
+    assert alone == [s.tolist() for s in shingles(texts + [b"a b c d e f g h"])][: len(texts)]
+    assert [len(s) for s in alone] == [0 if not n else max(1, n - 4) for n in range(words)]
+
+
+@pytest.mark.parametrize("n", [10, 399, 400, 401, 5000])
+def test_all_levels_at_every_size(n):
+    rng = np.random.default_rng(n)
+    levels = fingerprint.fingerprints(["".join(rng.choice(list("abcdefgh "), n))])[0].split(".")
+    assert len(levels) == fingerprint.LEVELS and all(levels)
