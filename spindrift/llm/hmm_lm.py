@@ -1,45 +1,53 @@
 """Language-model scores by a hidden Markov model with classes for rare words.
 
 Tokens are words (A-Z lower-cased) and one end for each text. All tokens of all rows are
-counted. The ``OWN`` most frequent words of the training rows have emissions of their
-own; the others emit one of 64 classes by length and ending, and then the word by its
-smoothed share of the class. Baum-Welch runs over all training rows, in windows of
-``WINDOW`` tokens: expected counts are summed across partitions, and the driver only gets
-the model's own entries. Scores are the exact likelihood of the whole text: scaled forward
-recursions over segments give transfer matrices, which are multiplied in order.
+counted. Words that make up at least one in ``OWN_SHARE`` training words, and ``LEAST`` of
+them, have emissions of their own (so at most ``OWN_SHARE`` words, whatever the corpus); the others emit one of 64
+classes by length and ending, and then the word by its smoothed share of the class, from a
+table of counts that has every word of the corpus. Baum-Welch runs over all training rows,
+in windows of ``WINDOW`` tokens: a text's first window begins in the start state, later
+ones in the state that windows are found to resume in, which is learnt apart. Expected
+counts are summed across partitions, and the driver only gets the model's own entries.
+Scores are the exact likelihood of the whole text: a scaled forward recursion, in which
+the texts of a batch advance together; what a few much longer texts have left goes by
+transfer matrices of segments, multiplied in order, with the same result.
 
 Counts of words that make up at least one in ``SHARE`` tokens (so at most ``SHARE`` words,
 whatever the corpus) are broadcast; any other word of a text meets its count in a join,
 in which it is too rare to be hot.
 
 Cases: a null text counts as empty; an empty text is one end; texts of any length count
-whole; a null id hashes as empty text; repeated rows each count; an empty table gives no
-rows; without training rows nothing is known; other columns are ignored.
+whole; a null id hashes as empty text; repeated rows each count; words of equal counts
+fare alike; an empty table gives no rows; without training rows nothing is known; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import materialise, read_table, remainder, small_batches, text_or_empty
+from spindrift.llm.common import discard, materialise, read_table, remainder, small_batches, text_or_empty
 
 STATES = 8
-OWN = 2048
+#: Fewer than 2**16 less the classes: a symbol has 16 bits.
+OWN_SHARE = 60_000
+#: Words seen less often stand for those never seen, so they have no emissions of their own.
+LEAST = 8
 SHARE = 1 << 20
 ROUNDS = 5
 WINDOW = 128
+#: Windows that advance together.
+TOGETHER = 1024
 SEGMENT = 64
-#: Distinct words that a pass holds before it hands their counts on.
-FLUSH = 100_000
+#: Texts that are fewer than this many go by segments.
+FEW = 32
 CLASSES = 64
-N_SYMBOLS = OWN + CLASSES + 1
-END = N_SYMBOLS - 1
 # Endings that set a class apart.
 ENDINGS = b".,;:!?"
 
@@ -54,164 +62,178 @@ def class_column(word: str = "token"):
     return F.least(F.octet_length(word), F.lit(31)) + F.when(ending, 32).otherwise(0)
 
 
-def counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts (token, of training rows, of all rows)."""
-    train, other = Counter(), Counter()
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of some texts, their numbers along all texts, and each text's number of words."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string())))
+    coded = split.flatten().dictionary_encode()
+    at, owner = coded.indices.to_numpy(), np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+    empty = pc.index(coded.dictionary, "").as_py()  # where white space begins or ends a text
+    if empty >= 0:
+        at, owner = at[at != empty], owner[at != empty]
+    return coded.dictionary.cast(pa.binary()), at, np.bincount(owner, minlength=len(texts))
 
-    def give():
-        words = [*train, *(w for w in other if w not in train)]
-        n = [train[w] for w in words]
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n, pa.int64()), pa.array([k + other[w] for k, w in zip(n, words)], pa.int64())], names=["token", "n", "n_all"])
 
+def counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts (token, of training rows, of all rows)."""
     for batch in batches:
-        for held_out, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-            (other if held_out else train).update(text.lower().split())
-        if len(train) + len(other) > FLUSH:
-            yield give()
-            train.clear()
-            other.clear()
-    if train or other:
-        yield give()
+        words, at, sizes = words_of(batch.column(1))
+        train = np.repeat(~batch.column(0).to_numpy(zero_copy_only=False), sizes)
+        n_all, n = np.bincount(at, minlength=len(words)), np.bincount(at[train], minlength=len(words))
+        full = np.flatnonzero(n_all)
+        yield pa.RecordBatch.from_arrays([words.take(pa.array(full)), pa.array(n[full]), pa.array(n_all[full])], names=["token", "n", "n_all"])
 
 
 CODED = pa.schema([("rid", pa.int64()), ("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("inner", pa.float64()), ("symbols", pa.binary()), ("rare", pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())])))])
 CODED_DDL = "rid bigint, id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, inner double, symbols binary, rare array<struct<token:binary,n:bigint>>"
 
 
-def coder(shared, end_known: bool, end_base: float):
+def coder(shared, n_own: int, end_known: bool, end_base: float):
     """Symbols of each text, what its frequent words add to the scores, and its rare words."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, symbol, base, inner, known = shared.value
         index = {w: k for k, w in enumerate(words)}
         for batch in batches:
-            cols = [[] for _ in range(6)]
-            for text in batch.column(3).cast(pa.binary()).to_pylist():
-                tokens = text.lower().split()
-                at = np.array([index.get(w, -1) for w in tokens], np.int64)
-                seen = at >= 0
-                found = at[seen]
-                symbols = np.empty(len(tokens) + 1, "<u2")
-                symbols[-1] = END
-                symbols[:-1][seen] = symbol[found]
-                missed = [tokens[k] for k in np.flatnonzero(~seen)]
-                symbols[:-1][~seen] = [OWN + word_class(w) for w in missed]
-                rare = [{"token": w, "n": n} for w, n in Counter(missed).items()]
-                for col, value in zip(cols, (len(tokens) + 1, int(known[found].sum()) + end_known, float(base[found].sum()) + end_base, float(inner[found].sum()), symbols.tobytes(), rare)):
-                    col.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *[pa.array(c, f.type) for c, f in zip(cols, list(CODED)[3:])]], schema=CODED)
+            distinct, at, sizes = words_of(batch.column(3))
+            n_texts, owner = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
+            each = distinct.to_pylist()
+            place = np.array([index.get(w, -1) for w in each], np.int64)
+            code = np.array([n_own + word_class(w) if k < 0 and w else 0 if k < 0 else symbol[k] for w, k in zip(each, place)], "<u2")
+            tokens = place[at]
+            seen = tokens >= 0
+            of_text = lambda values: np.bincount(owner[seen], values[tokens[seen]], n_texts)
+            ends = np.cumsum(sizes + 1)
+            symbols = np.empty(len(at) + n_texts, "<u2")
+            symbols[ends - 1] = n_own + CLASSES
+            symbols[np.arange(len(at)) + owner] = code[at]
+            raw = pa.Array.from_buffers(pa.large_binary(), n_texts, [None, pa.py_buffer(np.concatenate(([0], 2 * ends)).astype(np.int64)), pa.py_buffer(symbols)]).cast(pa.binary())
+            pairs, times = np.unique(owner[~seen] * max(1, len(each)) + at[~seen], return_counts=True)
+            rare = pa.StructArray.from_arrays([distinct.take(pa.array(pairs % max(1, len(each)))), pa.array(times, pa.int64())], names=["token", "n"])
+            starts = np.searchsorted(pairs, np.arange(n_texts + 1) * max(1, len(each))).astype(np.int32)
+            cols = [sizes + 1, of_text(known).astype(np.int64) + end_known, of_text(base) + end_base, of_text(inner)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *[pa.array(c, f.type) for c, f in zip(cols, list(CODED)[3:])], raw, pa.ListArray.from_arrays(pa.array(starts), rare)], schema=CODED)
 
     return code
 
 
-def initial(unigram: np.ndarray, states: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Start, resumption, moves, and emissions with a row for each symbol.
+Model = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def initial(unigram: np.ndarray, states: int) -> Model:
     rng = np.random.default_rng(7)
-    emit = (unigram + 1e-9) * np.exp(rng.normal(0, 1, (states, len(unigram))))
+    emit = (unigram + 1e-9)[:, None] * np.exp(rng.normal(0, 1, (states, len(unigram)))).T
     move = np.full((states, states), 0.4 / states) + 0.6 * np.eye(states)
-    return np.full(states, 1 / states), move, emit / emit.sum(1, keepdims=True)
+    return np.full(states, 1 / states), np.full(states, 1 / states), move, np.ascontiguousarray(emit / emit.sum(0))
+
+
+def maximised(first, resumed, moves, emissions, unigram: np.ndarray) -> Model:
+    """The model of most likely entries, with one more start, resumption and move of each kind and ten more emissions."""
+    first, resumed, moves, emissions = first + 1, resumed + 1, moves + 1, emissions + 10 * unigram[:, None]
+    return first / first.sum(), resumed / resumed.sum(), moves / moves.sum(1, keepdims=True), np.ascontiguousarray(emissions / emissions.sum(0))
 
 
-def expected(start: np.ndarray, move: np.ndarray, emit: np.ndarray, windows: np.ndarray, lengths: np.ndarray):
-    """Expected counts (start, moves, emissions) and log likelihood over windows (n, T) of symbols.
+def expected(model: Model, grid: np.ndarray, lengths: np.ndarray, first: np.ndarray):
+    """Expected starts, resumptions, moves and emissions, and log likelihood, over windows of symbols.
 
-    The state before the first token is drawn from ``start``.
+    ``grid`` (T, n) has a window in each column, the longest ones first; ``first`` says
+    which begin a text. The state before a window's first token is drawn from the start
+    or the resumption.
     """
-    n, t_max = windows.shape
-    k = len(start)
-    rows = emit.T.copy()
-    alive = np.arange(t_max)[:, None] < lengths
-    e = rows[windows.T]  # (T, n, k)
-    e[~alive] = 1
-    alpha = np.empty((t_max + 1, n, k))
-    scale = np.ones((t_max, n))
-    alpha[0] = start
-    eye = np.eye(k)
+    start, resume, move, rows = model
+    (t_max, n), k = grid.shape, len(start)
+    live = np.searchsorted(-lengths, -np.arange(t_max), side="left")  # windows that have a token there
+    alpha, e, scale = np.empty((t_max + 1, n, k)), np.empty((t_max, n, k)), np.empty((t_max, n))
+    alpha[0] = np.where(first[:, None], start, resume)
+    ones, log_likelihood = np.ones(k), 0.0
     for t in range(t_max):
-        x = (alpha[t] @ move) * e[t]
-        x[~alive[t]] = alpha[t][~alive[t]]
-        scale[t] = x.sum(1)
-        alpha[t + 1] = x / scale[t][:, None]
-    beta = np.ones((n, k))
-    moves = np.zeros((k, k))
-    gamma = np.empty((t_max, n, k))
+        m = live[t]
+        np.take(rows, grid[t, :m], axis=0, out=e[t, :m], mode="clip")
+        x = alpha[t, :m] @ move
+        x *= e[t, :m]
+        scale[t, :m] = x @ ones
+        log_likelihood += float(np.log(scale[t, :m]).sum())
+        np.divide(x, scale[t, :m, None], out=alpha[t + 1, :m])
+    beta, moves, at = np.ones((n, k)), np.zeros((k, k)), 0
+    sym, gamma = np.empty(int(live.sum()), np.int64), np.empty((int(live.sum()), k))
     for t in range(t_max - 1, -1, -1):
-        gamma[t] = alpha[t + 1] * beta
-        back = e[t] * beta / scale[t][:, None]
-        live = alive[t]
-        moves += alpha[t][live].T @ back[live]
-        new = back @ move.T
-        beta[live] = new[live]
-    del eye
-    first = (alpha[0] * beta)[lengths > 0].sum(0)
-    sym, g = windows.T[alive], gamma[alive]
-    emissions = np.stack([np.bincount(sym, g[:, j], emit.shape[1]) for j in range(k)])
-    return first, moves * move, emissions, float(np.log(scale[alive]).sum())
-
-
-def expecter(start, move, emit):
+        m = live[t]
+        sym[at : at + m] = grid[t, :m]
+        np.multiply(alpha[t + 1, :m], beta[:m], out=gamma[at : at + m])
+        at += m
+        back = e[t, :m]
+        back *= beta[:m]
+        back /= scale[t, :m, None]
+        moves += alpha[t, :m].T @ back
+        beta[:m] = back @ move.T
+    begin = alpha[0] * beta
+    emissions = np.stack([np.bincount(sym, gamma[:, j], len(rows)) for j in range(k)], axis=1)
+    return begin[first].sum(0), begin[~first].sum(0), moves * move, emissions, log_likelihood
+
+
+def windows_of(symbols: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Windows of texts (their symbols in turn) as ``expected`` takes them, up to ``TOGETHER`` at a time."""
+    ends = np.cumsum(sizes)
+    count = -(-sizes // WINDOW)
+    owner = np.repeat(np.arange(len(sizes)), count)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    begin = (ends - sizes)[owner] + WINDOW * nth
+    lengths = np.minimum(WINDOW, ends[owner] - begin)
+    order = np.argsort(-lengths, kind="stable")
+    for at in range(0, len(order), TOGETHER):
+        some = order[at : at + TOGETHER]
+        place = begin[some] + np.arange(lengths[some[0]])[:, None]
+        yield symbols[np.minimum(place, len(symbols) - 1)].astype(np.int64), lengths[some], nth[some] == 0
+
+
+def sized(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of all texts in turn, and each text's number of symbols."""
+    raw = column.to_pylist()
+    return np.frombuffer(b"".join(raw), "<u2"), np.array([len(x) // 2 for x in raw], np.int64)
+
+
+def expecter(shared):
     """One pass of Baum-Welch over a partition: (entry of the model, expected count)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(start.size + move.size + emit.size + 1)
-
-        def add(rows: list[np.ndarray]) -> None:
-            lengths = np.array([len(r) for r in rows])
-            order = np.argsort(lengths, kind="stable")
-            for at in range(0, len(order), 1024):
-                some = order[at : at + 1024]
-                grid = np.zeros((len(some), lengths[some].max()), np.int64)
-                for k, r in enumerate(some):
-                    grid[k, : lengths[r]] = rows[r]
-                f, m, e, ll = expected(start, move, emit, grid, lengths[some])
-                total[:] += np.concatenate([f, m.ravel(), e.ravel(), [ll]])
-
-        waiting: list[np.ndarray] = []
+        model = shared.value
+        total = np.zeros(sum(x.size for x in model) + 1)
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                symbols = np.frombuffer(raw, "<u2")
-                waiting += [symbols[k : k + WINDOW] for k in range(0, len(symbols), WINDOW)]
-                if len(waiting) >= 8192:
-                    add(waiting)
-                    waiting = []
-        if waiting:
-            add(waiting)
+            for some in windows_of(*sized(batch.column(0))):
+                *counts, log_likelihood = expected(model, *some)
+                total += np.concatenate([*[c.ravel() for c in counts], [log_likelihood]])
         used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], names=["entry", "count"])
+        for at in range(0, len(used), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(used[at : at + 100_000], pa.int64()), pa.array(total[used[at : at + 100_000]])], names=["entry", "count"])
 
     return run
 
 
-def log10_likelihoods(start: np.ndarray, move: np.ndarray, emit: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
-    """Exact log10 likelihood of each symbol sequence.
-
-    All segments of all texts advance together as transfer matrices; those of a text are
-    then applied in order, scaled at each step.
-    """
-    k, rows = len(start), emit.T.copy()
+def by_segments(model: Model, state: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
+    """Log10 likelihood of each sequence after a state: transfer matrices of all segments
+    advance together, and those of a text are applied in order, scaled at each step."""
+    _, _, move, rows = model
+    k = len(move)
     owner = np.repeat(np.arange(len(texts)), [-(-len(t) // SEGMENT) for t in texts])
     segments = [t[a : a + SEGMENT] for t in texts for a in range(0, len(t), SEGMENT)]
     lengths = np.array([len(s) for s in segments])
     grid = np.zeros((len(segments), SEGMENT), np.int64)
     grid[np.arange(SEGMENT) < lengths[:, None]] = np.concatenate(segments)
-    x = np.tile(np.eye(k), (len(segments), 1, 1))
-    logs = np.zeros(len(segments))
     order = np.argsort(-lengths, kind="stable")  # those still alive come first
-    x, grid, sorted_lengths = x[order], grid[order], lengths[order]
-    sorted_logs = logs[order]
+    x, grid, logs = np.tile(np.eye(k), (len(segments), 1, 1)), grid[order], np.zeros(len(segments))
     for t in range(int(lengths.max())):
-        n = int(np.searchsorted(-sorted_lengths, -t, side="left"))
+        n = int(np.searchsorted(-lengths[order], -t, side="left"))
         y = (x[:n].reshape(n * k, k) @ move).reshape(n, k, k)
         y *= rows[grid[:n, t]][:, None, :]
         if t % 8 == 7:
             s = y.sum((1, 2))
             y /= s[:, None, None]
-            sorted_logs[:n] += np.log10(s)
+            logs[:n] += np.log10(s)
         x[:n] = y
     back = np.argsort(order, kind="stable")
-    x, logs = x[back], sorted_logs[back]
-    first = np.searchsorted(owner, np.arange(len(texts)))
-    count = np.bincount(owner, minlength=len(texts))
-    state, out = np.tile(start, (len(texts), 1)), np.zeros(len(texts))
+    x, logs = x[back], logs[back]
+    first, count = np.searchsorted(owner, np.arange(len(texts))), np.bincount(owner, minlength=len(texts))
+    state, out = state.copy(), np.zeros(len(texts))
     for step in range(int(count.max())):
         live = np.flatnonzero(count > step)
         at = first[live] + step
@@ -222,17 +244,46 @@ def log10_likelihoods(start: np.ndarray, move: np.ndarray, emit: np.ndarray, tex
     return out
 
 
-def scorer(start, move, emit):
+def log10_likelihoods(model: Model, texts: list[np.ndarray]) -> np.ndarray:
+    """Exact log10 likelihood of each symbol sequence, none empty.
+
+    All texts advance together as far as ``FEW`` of them reach; the rest of those that are
+    longer goes by segments.
+    """
+    start, _, move, rows = model
+    sizes = np.array([len(t) for t in texts])
+    order = np.argsort(-sizes, kind="stable")
+    sizes = sizes[order]
+    reach = int(sizes[min(FEW, len(texts)) - 1])
+    flat, begin = np.concatenate([texts[k] for k in order]).astype(np.int64), np.cumsum(sizes) - sizes
+    live = np.searchsorted(-sizes, -np.arange(reach), side="left")
+    state, scale = np.tile(start, (len(texts), 1)), np.ones((len(texts), reach))
+    for t in range(reach):
+        m = live[t]
+        x = state[:m] @ move
+        x *= rows[flat[begin[:m] + t]]
+        scale[:m, t] = x.sum(1)
+        np.divide(x, scale[:m, t, None], out=state[:m])
+    sorted_out = np.log10(scale).sum(1)
+    longer = int(np.searchsorted(-sizes, -reach, side="left"))
+    if longer:
+        sorted_out[:longer] += by_segments(model, state[:longer], [texts[k][reach:].astype(np.int64) for k in order[:longer]])
+    out = np.empty(len(texts))
+    out[order] = sorted_out
+    return out
+
+
+def scorer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [np.frombuffer(raw, "<u2") for raw in batch.column(batch.num_columns - 1).to_pylist()]
             out, at = np.zeros(len(texts)), 0
             while at < len(texts):
                 to, size = at, 0
-                while to < len(texts) and (to == at or size + len(texts[to]) <= 100_000):
+                while to < len(texts) and (to == at or size + len(texts[to]) <= 1_000_000):
                     size += len(texts[to])
                     to += 1
-                out[at:to] = log10_likelihoods(start, move, emit, texts[at:to])
+                out[at:to] = log10_likelihoods(shared.value, texts[at:to])
                 at = to
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], names=[*batch.schema.names[:-1], "forward"])
 
@@ -250,11 +301,7 @@ def score(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col:
     n_words, n_all, n_distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_all"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
     total, distinct = n_words + ends, n_distinct + (ends > 0)
     below = total + 0.5 * (distinct + 1)
-    own_rows = counts.filter("n > 0").orderBy(F.col("n").desc(), "token").limit(OWN).select("token", "n").collect()
-    own = {bytes(r["token"]): k for k, r in enumerate(own_rows)}
-    least_own = (own_rows[-1]["n"], own_rows[-1]["token"]) if own_rows else (0, b"")
-    # Words without emissions of their own: below the last of those that have one.
-    is_own = (F.col("n") > least_own[0]) | ((F.col("n") > 0) & (F.col("n") == least_own[0]) & (F.col("token") <= F.lit(bytes(least_own[1])))) if own_rows else F.lit(False)
+    is_own = (F.col("n") >= LEAST) & (F.col("n") * OWN_SHARE >= F.lit(n_words))
     class_rows = counts.filter(~is_own).groupBy("class").agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).collect()
     class_n, class_v = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in class_rows:
@@ -262,35 +309,35 @@ def score(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col:
     class_below = class_n + 0.5 * (class_v + 1)
 
     often = (F.col("n_all") * SHARE >= F.lit(n_all)) | is_own
-    frequent = counts.filter(often).select("token", "n").collect()  # SHARE and OWN words at most
-    words = [bytes(r["token"]) for r in frequent]
-    n = np.array([r["n"] for r in frequent], float)
-    symbol = np.array([own.get(w, OWN + word_class(w)) for w in words], np.uint16)
-    as_class = symbol >= OWN
-    inner = np.where(as_class, np.log10((n + 0.5) / class_below[np.where(as_class, symbol - OWN, 0).astype(int)]), 0.0)
+    frequent = counts.filter(often).select("token", "n", is_own.alias("own")).orderBy(F.col("own").desc(), "token").toArrow()  # SHARE and OWN_SHARE words at most
+    words, n = [bytes(w) for w in frequent.column("token").to_pylist()], frequent.column("n").to_numpy().astype(float)
+    n_own = int(pc.sum(frequent.column("own")).as_py() or 0)
+    of_class = np.array([word_class(w) for w in words], np.int64)
+    as_class = np.arange(len(words)) >= n_own
+    symbol = np.where(as_class, n_own + of_class, np.arange(len(words))).astype(np.uint16)
+    inner = np.where(as_class, np.log10((n + 0.5) / class_below[of_class]), 0.0) if words else np.zeros(0)
     shared = spark.sparkContext.broadcast((words, symbol, np.log10((n + 0.5) / below), inner, (n > 0).astype(np.int64)))
     end_base = float(np.log10((ends + 0.5) / below))
     numbered = texts.withColumn("rid", F.monotonically_increasing_id()).select("rid", "id", "held_out", "text")
-    coded = materialise(spark, numbered.mapInArrow(coder(shared, int(ends > 0), end_base), CODED_DDL), "coded")
+    coded = materialise(spark, numbered.mapInArrow(coder(shared, n_own, int(ends > 0), end_base), CODED_DDL), "coded")
+    shared.destroy()
 
-    unigram = np.zeros(N_SYMBOLS)
-    for r in own_rows:
-        unigram[own[bytes(r["token"])]] = r["n"]
-    unigram[OWN : OWN + CLASSES], unigram[END] = class_n, ends
+    unigram = np.concatenate([n[:n_own], class_n, [ends]])
     unigram = (unigram + 0.01) / (unigram + 0.01).sum()
     model = initial(unigram, states)
+    edges = np.cumsum([x.size for x in model])
     train = coded.filter("NOT held_out").select("symbols")
     for _ in range(rounds):
-        sums = train.mapInArrow(expecter(*model), "entry bigint, count double").groupBy("entry").agg(F.sum("count").alias("count")).collect()
-        flat = np.zeros(states + states * states + states * N_SYMBOLS + 1)
-        for r in sums:
-            flat[r["entry"]] = r["count"]
-        first = flat[:states] + 1
-        move = flat[states : states + states * states].reshape(states, states) + 1
-        emit = flat[states + states * states : -1].reshape(states, N_SYMBOLS) + 10 * unigram
-        model = (first / first.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
-
-    scored = coded.select("rid", "id", "held_out", "n_tokens", "n_known", "base", "inner", "symbols").mapInArrow(scorer(*model), "rid bigint, id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, inner double, forward double")
+        held_model = spark.sparkContext.broadcast(model)
+        sums = train.mapInArrow(expecter(held_model), "entry bigint, count double").groupBy("entry").agg(F.sum("count").alias("count")).toArrow()
+        held_model.destroy()
+        flat = np.zeros(edges[-1] + 1)
+        flat[sums.column("entry").to_numpy()] = sums.column("count").to_numpy()
+        counted = [part.reshape(x.shape) for part, x in zip(np.split(flat, edges)[:4], model)]
+        model = maximised(*counted, unigram)
+
+    held_model = spark.sparkContext.broadcast(model)
+    scored = coded.select("rid", "id", "held_out", "n_tokens", "n_known", "base", "inner", "symbols").mapInArrow(scorer(held_model), "rid bigint, id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, inner double, forward double")
     seldom = counts.filter(~often)
     size = F.element_at(F.array(*[F.lit(float(x)) for x in class_below]), F.col("class") + 1)
     seldom = seldom.select("token", (F.col("n") > 0).cast("long").alias("known"), F.log10((F.col("n") + 0.5) / below).alias("b"), F.log10((F.col("n") + 0.5) / size).alias("i"))

@@ -282,42 +282,116 @@ def test_lm_base(spark, odd):
 
 
 def test_rare_words_meet_their_counts(spark, monkeypatch):
+    monkeypatch.setattr(hmm_lm, "OWN_SHARE", 400)
     a = run(spark, "op5_hmm_lm", SMALL).sort_values("doc_id")
     monkeypatch.setattr(hmm_lm, "SHARE", 500)  # nearly all words now take the join
     b = run(spark, "op5_hmm_lm", SMALL).sort_values("doc_id")
     assert np.allclose(a.base_score, b.base_score) and (a.n_known.values == b.n_known.values).all() and np.allclose(a.score, b.score)
 
 
+def norm(x, axis=-1):
+    return x / x.sum(axis, keepdims=True)
+
+
 def test_forward_is_exact():
     rng = np.random.default_rng(3)
     k, s = 3, 5
-    norm = lambda x: x / x.sum(-1, keepdims=True)
     start, move, emit = norm(rng.random(k)), norm(rng.random((k, k))), norm(rng.random((k, s)))
-    seqs = [rng.integers(0, s, n) for n in (1, 2, 63, 64, 65, 500)]
-    want = []
-    for q in seqs:
-        a, ll = start, 0.0
-        for o in q:
-            a = (a @ move) * emit[:, o]
-            ll += math.log10(a.sum())
-            a = a / a.sum()
-        want.append(ll)
-    assert np.allclose(hmm_lm.log10_likelihoods(start, move, emit, seqs), want)
+    for many in (0, 40):
+        seqs = [rng.integers(0, s, n) for n in [1, 2, 63, 64, 65, 500, *[7] * many]]
+        want = []
+        for q in seqs:
+            a, ll = start, 0.0
+            for o in q:
+                a = (a @ move) * emit[:, o]
+                ll += math.log10(a.sum())
+                a = a / a.sum()
+            want.append(ll)
+        assert np.allclose(hmm_lm.log10_likelihoods((start, start, move, emit.T.copy()), seqs), want)
 
 
 def test_baum_welch_raises_the_likelihood():
     rng = np.random.default_rng(3)
     k, s = 3, 6
-    norm = lambda x: x / x.sum(-1, keepdims=True)
-    start, move, emit = norm(rng.random(k)), norm(rng.random((k, k))), norm(rng.random((k, s)))
-    lengths = np.array([4, 9, 12, 12, 1])
-    grid = rng.integers(0, 3, (5, 12))
+    model = (norm(rng.random(k)), norm(rng.random(k)), norm(rng.random((k, k))), norm(rng.random((s, k)), 0))
+    lengths, first = np.array([12, 12, 9, 4, 1]), np.array([True, False, True, True, False])
+    grid = rng.integers(0, 3, (12, 5))
     last = -np.inf
     for _ in range(6):
-        f, m, e, ll = hmm_lm.expected(start, move, emit, grid, lengths)
+        f, r, m, e, ll = hmm_lm.expected(model, grid, lengths, first)
         assert ll >= last - 1e-9
-        assert math.isclose(e.sum(), lengths.sum()) and math.isclose(m.sum(), lengths.sum()) and math.isclose(f.sum(), 5)
-        start, move, emit, last = norm(f + 1e-12), norm(m + 1e-12), norm(e + 1e-12), ll
+        assert math.isclose(e.sum(), lengths.sum()) and math.isclose(m.sum(), lengths.sum()) and math.isclose(f.sum(), 3) and math.isclose(r.sum(), 2)
+        model, last = (norm(f + 1e-12), norm(r + 1e-12), norm(m + 1e-12), norm(e + 1e-12, 0)), ll
+
+
+def test_windows_cover_all_tokens():
+    sizes = np.array([1, 128, 129, 400, 5])
+    symbols = np.arange(sizes.sum()).astype("<u2")
+    seen, begins = [], 0
+    for grid, lengths, first in hmm_lm.windows_of(symbols, sizes):
+        begins += int(first.sum())
+        assert (np.diff(lengths) <= 0).all()
+        for j, n in enumerate(lengths):
+            seen += grid[:n, j].tolist()
+    assert sorted(seen) == symbols.tolist() and begins == 5
+
+
+def brute_lm(rows, states, rounds, own_share):
+    """Counts, Baum-Welch over windows, and forward scores, one token at a time."""
+    tok = [t.encode().lower().split() for _, t in rows]
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows]
+    c = Counter(w for ws, h in zip(tok, held) if not h for w in ws)
+    every = Counter(w for ws in tok for w in ws)
+    total = sum(c.values())
+    own = sorted(w for w in c if c[w] * own_share >= total and c[w] >= hmm_lm.LEAST)
+    class_n, class_v = np.zeros(64), np.zeros(64)
+    for w in every:
+        if w not in own:
+            class_n[hmm_lm.word_class(w)] += c[w]
+            class_v[hmm_lm.word_class(w)] += c[w] > 0
+    number = {w: k for k, w in enumerate(own)}
+    code = lambda w: number.get(w, len(own) + hmm_lm.word_class(w))
+    seqs = [[code(w) for w in ws] + [len(own) + 64] for ws in tok]
+    unigram = np.array([c[w] for w in own] + list(class_n) + [sum(not h for h in held)], float)
+    unigram = (unigram + 0.01) / (unigram + 0.01).sum()
+    start, resume, move, emit = hmm_lm.initial(unigram, states)
+    for _ in range(rounds):
+        f, r, m, e = np.ones(states), np.ones(states), np.ones((states, states)), 10 * np.tile(unigram[:, None], states)
+        for q, h in zip(seqs, held):
+            for at in range(0, 0 if h else len(q), 128):
+                w = q[at : at + 128]
+                alpha = [start if at == 0 else resume]
+                for o in w:
+                    alpha.append(norm((alpha[-1] @ move) * emit[o]))
+                beta = np.ones(states)
+                for t in range(len(w) - 1, -1, -1):
+                    e[w[t]] += norm(alpha[t + 1] * beta)
+                    x = alpha[t][:, None] * move * (emit[w[t]] * beta)[None]
+                    m += x / x.sum()
+                    beta = norm(move @ (emit[w[t]] * beta))
+                (f if at == 0 else r)[:] += norm(alpha[0] * beta)
+        start, resume, move, emit = norm(f), norm(r), norm(m), norm(e, 0)
+    out = []
+    for ws, q in zip(tok, seqs):
+        a, ll = start, 0.0
+        for o in q:
+            a = (a @ move) * emit[o]
+            ll += math.log10(a.sum())
+            a = a / a.sum()
+        out.append(ll + sum(math.log10((c[w] + 0.5) / (class_n[k] + 0.5 * (class_v[k] + 1))) for w in ws if w not in number for k in [hmm_lm.word_class(w)]))
+    return out
+
+
+@pytest.mark.parametrize("share", [1 << 20, 30])
+def test_lm_against_brute_force(spark, monkeypatch, share):
+    monkeypatch.setattr(hmm_lm, "OWN_SHARE", 20)
+    monkeypatch.setattr(hmm_lm, "SHARE", share)
+    rng = np.random.default_rng(5)
+    words = [f"{'w' * (k % 4 + 1)}{k}{'.' if k % 5 == 0 else ''}" for k in range(60)]
+    rows = [(i, " ".join(rng.choice(words, n, p=norm(1 / np.arange(1, 61))))) for i, n in enumerate([0, 1, 300, 128, 127, 40, 260, 3, 90, 150, 20])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r.score for r in hmm_lm.score(spark, df, states=3, rounds=3).collect()}
+    assert np.allclose([got[i] for i, _ in rows], brute_lm(rows, 3, 3, 20), rtol=1e-9)
 
 
 # 6: byte-level BPE
