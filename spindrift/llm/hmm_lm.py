@@ -45,6 +45,8 @@ WINDOW = 128
 #: Windows that advance together.
 TOGETHER = 1024
 SEGMENT = 64
+#: Counts that a pass holds before it sums and hands them on.
+FLUSH = 1_000_000
 #: Texts that are fewer than this many go by segments.
 FEW = 32
 CLASSES = 64
@@ -52,8 +54,14 @@ CLASSES = 64
 ENDINGS = b".,;:!?"
 
 
-def word_class(word: bytes) -> int:
-    return min(len(word), 31) + 32 * (word[-1] in ENDINGS)
+def word_classes(words: pa.BinaryArray) -> np.ndarray:
+    """Class of each word; an empty one is in class 0."""
+    n = pc.binary_length(words).to_numpy()
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    last = np.frombuffer(words.buffers()[1], np.int32)[words.offset + 1 : words.offset + 1 + len(words)] - 1
+    ending = np.zeros(len(words), bool)
+    ending[n > 0] = np.isin(data[last[n > 0]], np.frombuffer(ENDINGS, np.uint8))
+    return np.minimum(n, 31) + 32 * ending
 
 
 def class_column(word: str = "token"):
@@ -75,12 +83,23 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 def counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts (token, of training rows, of all rows)."""
+    held: list[pa.Table] = []
+
+    def give() -> Iterator[pa.RecordBatch]:
+        summed = pa.concat_tables(held).group_by("token").aggregate([("n", "sum"), ("n_all", "sum")])
+        yield from summed.select(["token", "n_sum", "n_all_sum"]).rename_columns(["token", "n", "n_all"]).to_batches(100_000)
+        held.clear()
+
     for batch in batches:
         words, at, sizes = words_of(batch.column(1))
         train = np.repeat(~batch.column(0).to_numpy(zero_copy_only=False), sizes)
         n_all, n = np.bincount(at, minlength=len(words)), np.bincount(at[train], minlength=len(words))
         full = np.flatnonzero(n_all)
-        yield pa.RecordBatch.from_arrays([words.take(pa.array(full)), pa.array(n[full]), pa.array(n_all[full])], names=["token", "n", "n_all"])
+        held.append(pa.table([words.take(pa.array(full)), pa.array(n[full]), pa.array(n_all[full])], names=["token", "n", "n_all"]))
+        if sum(len(x) for x in held) > FLUSH:
+            yield from give()
+    if held:
+        yield from give()
 
 
 CODED = pa.schema([("rid", pa.int64()), ("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("inner", pa.float64()), ("symbols", pa.binary()), ("rare", pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())])))])
@@ -92,13 +111,12 @@ def coder(shared, n_own: int, end_known: bool, end_base: float):
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, symbol, base, inner, known = shared.value
-        index = {w: k for k, w in enumerate(words)}
         for batch in batches:
             distinct, at, sizes = words_of(batch.column(3))
             n_texts, owner = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
-            each = distinct.to_pylist()
-            place = np.array([index.get(w, -1) for w in each], np.int64)
-            code = np.array([n_own + word_class(w) if k < 0 and w else 0 if k < 0 else symbol[k] for w, k in zip(each, place)], "<u2")
+            place = pc.fill_null(pc.index_in(distinct, words), -1).to_numpy().astype(np.int64)
+            code = (n_own + word_classes(distinct)).astype("<u2")
+            code[place >= 0] = symbol[place[place >= 0]]
             tokens = place[at]
             seen = tokens >= 0
             of_text = lambda values: np.bincount(owner[seen], values[tokens[seen]], n_texts)
@@ -107,9 +125,10 @@ def coder(shared, n_own: int, end_known: bool, end_base: float):
             symbols[ends - 1] = n_own + CLASSES
             symbols[np.arange(len(at)) + owner] = code[at]
             raw = pa.Array.from_buffers(pa.large_binary(), n_texts, [None, pa.py_buffer(np.concatenate(([0], 2 * ends)).astype(np.int64)), pa.py_buffer(symbols)]).cast(pa.binary())
-            pairs, times = np.unique(owner[~seen] * max(1, len(each)) + at[~seen], return_counts=True)
-            rare = pa.StructArray.from_arrays([distinct.take(pa.array(pairs % max(1, len(each)))), pa.array(times, pa.int64())], names=["token", "n"])
-            starts = np.searchsorted(pairs, np.arange(n_texts + 1) * max(1, len(each))).astype(np.int32)
+            span = max(1, len(distinct))
+            pairs, times = np.unique(owner[~seen] * span + at[~seen], return_counts=True)
+            rare = pa.StructArray.from_arrays([distinct.take(pa.array(pairs % span)), pa.array(times, pa.int64())], names=["token", "n"])
+            starts = np.searchsorted(pairs, np.arange(n_texts + 1) * span).astype(np.int32)
             cols = [sizes + 1, of_text(known).astype(np.int64) + end_known, of_text(base) + end_base, of_text(inner)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *[pa.array(c, f.type) for c, f in zip(cols, list(CODED)[3:])], raw, pa.ListArray.from_arrays(pa.array(starts), rare)], schema=CODED)
 
@@ -310,12 +329,13 @@ def score(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col:
 
     often = (F.col("n_all") * SHARE >= F.lit(n_all)) | is_own
     frequent = counts.filter(often).select("token", "n", is_own.alias("own")).orderBy(F.col("own").desc(), "token").toArrow()  # SHARE and OWN_SHARE words at most
-    words, n = [bytes(w) for w in frequent.column("token").to_pylist()], frequent.column("n").to_numpy().astype(float)
+    words, n = frequent.column("token").cast(pa.binary()).combine_chunks(), frequent.column("n").to_numpy().astype(float)
+    words = pa.concat_arrays(words.chunks) if isinstance(words, pa.ChunkedArray) else words
     n_own = int(pc.sum(frequent.column("own")).as_py() or 0)
-    of_class = np.array([word_class(w) for w in words], np.int64)
+    of_class = word_classes(words).astype(np.int64)
     as_class = np.arange(len(words)) >= n_own
     symbol = np.where(as_class, n_own + of_class, np.arange(len(words))).astype(np.uint16)
-    inner = np.where(as_class, np.log10((n + 0.5) / class_below[of_class]), 0.0) if words else np.zeros(0)
+    inner = np.where(as_class, np.log10((n + 0.5) / class_below[of_class]), 0.0)
     shared = spark.sparkContext.broadcast((words, symbol, np.log10((n + 0.5) / below), inner, (n > 0).astype(np.int64)))
     end_base = float(np.log10((ends + 0.5) / below))
     numbered = texts.withColumn("rid", F.monotonically_increasing_id()).select("rid", "id", "held_out", "text")

@@ -336,6 +336,10 @@ def test_windows_cover_all_tokens():
     assert sorted(seen) == symbols.tolist() and begins == 5
 
 
+def word_class(word):
+    return min(len(word), 31) + 32 * (word[-1:] in (b".", b",", b";", b":", b"!", b"?"))
+
+
 def brute_lm(rows, states, rounds, own_share):
     """Counts, Baum-Welch over windows, and forward scores, one token at a time."""
     tok = [t.encode().lower().split() for _, t in rows]
@@ -347,10 +351,10 @@ def brute_lm(rows, states, rounds, own_share):
     class_n, class_v = np.zeros(64), np.zeros(64)
     for w in every:
         if w not in own:
-            class_n[hmm_lm.word_class(w)] += c[w]
-            class_v[hmm_lm.word_class(w)] += c[w] > 0
+            class_n[word_class(w)] += c[w]
+            class_v[word_class(w)] += c[w] > 0
     number = {w: k for k, w in enumerate(own)}
-    code = lambda w: number.get(w, len(own) + hmm_lm.word_class(w))
+    code = lambda w: number.get(w, len(own) + word_class(w))
     seqs = [[code(w) for w in ws] + [len(own) + 64] for ws in tok]
     unigram = np.array([c[w] for w in own] + list(class_n) + [sum(not h for h in held)], float)
     unigram = (unigram + 0.01) / (unigram + 0.01).sum()
@@ -378,7 +382,7 @@ def brute_lm(rows, states, rounds, own_share):
             a = (a @ move) * emit[o]
             ll += math.log10(a.sum())
             a = a / a.sum()
-        out.append(ll + sum(math.log10((c[w] + 0.5) / (class_n[k] + 0.5 * (class_v[k] + 1))) for w in ws if w not in number for k in [hmm_lm.word_class(w)]))
+        out.append(ll + sum(math.log10((c[w] + 0.5) / (class_n[k] + 0.5 * (class_v[k] + 1))) for w in ws if w not in number for k in [word_class(w)]))
     return out
 
 
