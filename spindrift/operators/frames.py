@@ -42,7 +42,8 @@ def nearest_signal(df: DataFrame) -> DataFrame:
 
 
 def far_from_signal(df: DataFrame, more_than: int = 17) -> DataFrame:
-    return nearest_signal(df).filter(F.col("to_signal") > more_than)
+    """Frames further from any signal than that; all of a recording without signal."""
+    return nearest_signal(df).filter(F.col("to_signal").isNull() | (F.col("to_signal") > more_than))
 
 
 def interior_noise(df: DataFrame, min_run: int = 5, margin: int = 1) -> DataFrame:
@@ -78,9 +79,24 @@ def inner_gaps(df: DataFrame) -> DataFrame:
     return r.filter((F.col("label") == "NOISE") & (F.col("k") > 1) & (F.col("k") < F.col("last"))).groupBy(F.col("n").alias("gap")).agg(F.count(F.lit(1)).alias("n_gaps"))
 
 
-def transition_counts(df: DataFrame) -> DataFrame:
-    """Per label: visits (runs), frames, and self transitions."""
-    return runs(df).groupBy("label").agg(F.count(F.lit(1)).alias("visits"), F.sum("n").alias("frames"), F.sum(F.col("n") - 1).alias("self_moves"))
+def flank_runs(df: DataFrame) -> DataFrame:
+    """Per recording the NOISE frames before all signal, after it, and between, where they are folded in."""
+    r = runs(df).withColumn("k", F.row_number().over(Window.partitionBy("recording").orderBy("start"))).withColumn("last", F.max("k").over(whole()))
+    n = lambda c: F.coalesce(F.sum(F.when(c & (F.col("label") == "NOISE"), F.col("n"))), F.lit(0).cast("long"))
+    first, end = F.col("k") == 1, F.col("k") == F.col("last")
+    return r.groupBy("recording").agg(n(first).alias("leading"), n(end & ~first).alias("trailing"), n(~first & ~end).alias("folded"))
+
+
+def switchpoints(df: DataFrame, k: int, value: str = "value") -> DataFrame:
+    """recording, point, height: of the adjacent-distance profile of a number, its two ends and the
+    ``k`` highest strict local maxima, the first among equals."""
+    profile = df.withColumn("height", F.abs(F.col(value) - F.lag(value).over(by_frame()))).withColumn("point", F.col("frame") - 1).filter("point >= 0")
+    w = Window.partitionBy("recording").orderBy("point")
+    p = profile.withColumn("a", F.lag("height").over(w)).withColumn("b", F.lead("height").over(w))
+    peaks = p.filter("height > a AND height > b").withColumn("rank", F.row_number().over(Window.partitionBy("recording").orderBy(F.col("height").desc(), "point"))).filter(F.col("rank") <= k)
+    last = p.withColumn("last", F.max("point").over(whole()))
+    ends = last.filter("point = 0").unionByName(last.filter("point = last"))
+    return peaks.select("recording", "point", "height").unionByName(ends.select("recording", "point", "height"))
 
 
 def sliding_changes(df: DataFrame, size: int = 100, step: int = 50) -> DataFrame:

@@ -36,8 +36,76 @@ def sweep(df: DataFrame, thresholds: list[float], score: str = "llr") -> DataFra
 
 
 def motif_summary(df: DataFrame) -> DataFrame:
-    counts = [F.count(F.when(F.col("classification") == c, 1)).alias(f"n_{c.lower()}") for c in ("WHISTLE", "BURST", "NOISE")]
-    return df.groupBy("submodel").agg(F.count(F.lit(1)).alias("n"), F.avg("llr").alias("mean_llr"), F.avg("n_frames").alias("mean_frames"), F.countDistinct("recording").alias("n_recordings"), *counts)
+    """Per sub-model: hits, mean score and length, distinct recordings, and the classes with their
+    numbers (classification, n), the most frequent first."""
+    per = df.groupBy("submodel", "classification").agg(F.count(F.lit(1)).alias("n"))
+    classes = per.groupBy("submodel").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "classification", "n"))), lambda c: F.struct(c["classification"].alias("classification"), c["n"].alias("n"))).alias("classes"))
+    whole = df.groupBy("submodel").agg(F.count(F.lit(1)).alias("n"), F.avg("llr").alias("mean_llr"), F.avg("n_frames").alias("mean_frames"), F.countDistinct("recording").alias("n_recordings"))
+    return whole.join(classes, "submodel")
+
+
+def pass_rates(df: DataFrame, limits: dict[str, float], default: float = 5.0, score: str = "llr") -> DataFrame:
+    """Per class: hits, its limit (or the default), and how many and which share reach it."""
+    limit = F.lit(float(default))
+    for k, v in limits.items():
+        limit = F.when(F.col("classification") == k, F.lit(float(v))).otherwise(limit)
+    g = df.withColumn("threshold", limit).groupBy("classification", "threshold").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(score) >= F.col("threshold")).alias("n_pass"))
+    return g.select("classification", "n", "threshold", "n_pass", (F.col("n_pass") / F.col("n")).alias("frac_pass"))
+
+
+def per_recording(df: DataFrame, paths: DataFrame) -> DataFrame:
+    """Hits and path of each recording that has hits, and whether its path is missing."""
+    n = df.groupBy("recording").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(paths, "recording", "left").select("recording", "n", "path", F.col("path").isNull().alias("missing"))
+
+
+def candidate_stats(recordings: DataFrame, sources: DataFrame, medoids: DataFrame) -> DataFrame:
+    """``recordings`` with n_found, n_used and n_medoids: regions found (sources), those with a candidate,
+    and those whose candidate is among the medoids."""
+    m = medoids.select(F.col("candidate").alias("_c")).distinct().withColumn("is_medoid", F.lit(True))
+    s = sources.join(m, F.col("candidate") == F.col("_c"), "left")
+    per = s.groupBy("recording").agg(F.count(F.lit(1)).alias("n_found"), F.count("candidate").alias("n_used"), F.count("is_medoid").alias("n_medoids"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return recordings.join(per, "recording", "left").select(*recordings.columns, zero("n_found"), zero("n_used"), zero("n_medoids"))
+
+
+def histogram(df: DataFrame, score: str, bins: int) -> DataFrame:
+    """classification, bin, n: even bins between the least and the greatest score of all classes."""
+    edges = df.agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
+    place = F.least(F.lit(bins - 1), F.coalesce(F.floor(F.try_divide((F.col(score) - F.col("_lo")) * bins, F.col("_hi") - F.col("_lo"))), F.lit(0)))
+    return df.crossJoin(F.broadcast(edges)).groupBy("classification", place.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def quartiles(df: DataFrame, score: str) -> DataFrame:
+    q = lambda p: F.percentile(F.col(score), p)
+    return df.groupBy("classification").agg(F.min(score).alias("low"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.max(score).alias("high"))
+
+
+# Metrics for which less, and more, is better.
+LESS_IS_BETTER = ["bic", "gap_ratio", "gap_opens", "gap_extends", "total_gaps", "gap_percentage", "mean_variance", "median_variance", "percentage_noise", "mean_gap_pct", "median_gap_pct", "std_gap_pct", "max_gap_pct", "mean_max_consecutive", "max_consecutive"]
+MORE_IS_BETTER = ["mean_fit", "well_fit_rate", "percentage_clean"]
+
+
+def compare_runs(df: DataFrame, run: str, baseline: str, metrics: list[str]) -> DataFrame:
+    """run, metric, value, baseline, lift, magnitude, verdict of each run but the baseline."""
+    from spindrift.functions.scalars import lift_percent, magnitude
+
+    u = df.select(run, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(run, metrics, "metric", "value")
+    base = u.filter(F.col(run) == baseline).select("metric", F.col("value").alias("baseline"))  # a row a metric
+    each = u.filter(F.col(run) != baseline).join(F.broadcast(base), "metric").withColumn("lift", lift_percent(F.col("value"), F.col("baseline")))
+    better = F.when(F.col("metric").isin(LESS_IS_BETTER), F.col("lift") < 0).when(F.col("metric").isin(MORE_IS_BETTER), F.col("lift") > 0)
+    verdict = F.when(F.col("lift").isNull(), None).when(better, "improvement").when(~better, "degradation").otherwise("change")
+    return each.select(run, "metric", "value", "baseline", "lift", magnitude(F.col("lift")).alias("magnitude"), verdict.alias("verdict"))
+
+
+def locate(exemplars: DataFrame, frames: DataFrame) -> DataFrame:
+    """exemplar, recording, start of exemplars (exemplar, xs) that are a slice of a recording: their first
+    and last frames are found by content (each at its first place), as far apart as they are long."""
+    index = frames.groupBy(F.xxhash64("x").alias("h"), "x").agg(F.min(F.struct("recording", "frame")).alias("at"))
+    end = lambda place, name: exemplars.select("exemplar", F.size("xs").alias("n"), F.element_at("xs", place).alias("v")).withColumn("h", F.xxhash64("v")).join(index, "h").filter(F.col("v") == F.col("x")).select("exemplar", "n", F.col("at").alias(name))
+    both = end(1, "a").join(end(-1, "b").drop("n"), "exemplar")
+    fits = (F.col("a.recording") == F.col("b.recording")) & (F.col("b.frame") - F.col("a.frame") == F.col("n") - 1)
+    return both.filter(fits).select("exemplar", "a.recording", F.col("a.frame").alias("start"))
 
 
 def with_marks(df: DataFrame, marks: DataFrame, key: str) -> DataFrame:

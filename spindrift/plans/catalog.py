@@ -3,47 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.functions import scalars, vectors
-from spindrift.operators import clusters, frames as fr, hits as ht, profile_hmm as ph, sequences as sq
+from spindrift.functions import vectors
+from spindrift.operators import clusters, frames as fr, hits as ht, sequences as sq
+from spindrift.plans.registry import FRAMES, HITS, ORACLES, QUERIES, REGIONS, RUNS, VECS, query
 from spindrift.sources import tables as tb
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-FRAMES = """frames AS (
-  SELECT user_id AS recording, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame,
-         CASE event_type WHEN 'view' THEN 'NOISE' WHEN 'click' THEN 'UP' WHEN 'purchase' THEN 'DOWN' WHEN 'signup' THEN 'ECHO' WHEN 'error' THEN 'BURST' ELSE 'NOISE' END AS label, value
-  FROM events)"""
-RUNS = FRAMES + """,
-steps AS (SELECT *, CASE WHEN label IS NOT DISTINCT FROM lag(label) OVER w THEN 0 ELSE 1 END AS new FROM frames WINDOW w AS (PARTITION BY recording ORDER BY frame)),
-numbered AS (SELECT *, sum(new) OVER (PARTITION BY recording ORDER BY frame) AS run FROM steps),
-runs AS (SELECT recording, run, min(label) AS label, min(frame) AS start, max(frame) + 1 AS stop, count(*) AS n FROM numbered GROUP BY recording, run)"""
-REGIONS = FRAMES + """,
-signal AS (SELECT *, frame - row_number() OVER (PARTITION BY recording ORDER BY frame) AS island FROM frames WHERE label <> 'NOISE'),
-regions AS (SELECT recording, min(frame) AS start, max(frame) + 1 AS stop FROM signal GROUP BY recording, island HAVING count(*) >= 10)"""
-HITS = """hits AS (
-  SELECT l_suppkey AS submodel, l_extendedprice AS llr, l_quantity / 50 AS confidence,
-         CASE l_returnflag WHEN 'R' THEN 'WHISTLE' WHEN 'A' THEN 'BURST' ELSE 'NOISE' END AS classification,
-         l_orderkey AS recording, l_partkey AS hit, l_linenumber AS line, l_quantity AS n_frames FROM lineitem)"""
-VECS = """vecs AS MATERIALIZED (SELECT vec_id, label AS recording, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame, embedding::DOUBLE[] AS v FROM embeddings)"""
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 # Regions, runs and gaps
 
 
@@ -58,27 +27,11 @@ def region_lengths(spark, d):
     return fr.regions(tb.frames(spark, d)).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(n), 6).alias("mean_length"), F.round(F.expr("percentile(cast(stop - start as double), 0.5)"), 6).alias("median_length"), F.max(F.col("stop") - F.col("start")).alias("max_length"))
 
 
-@query(f"""WITH {REGIONS}
-SELECT f.recording, f.n_frames, coalesce(r.n_found, 0) AS n_found, coalesce(r.n_used, 0) AS n_used
-FROM (SELECT recording, count(*) AS n_frames FROM frames GROUP BY recording) f
-LEFT JOIN (SELECT recording, count(*) AS n_found, sum(CASE WHEN stop - start >= 12 THEN 1 ELSE 0 END)::BIGINT AS n_used FROM regions GROUP BY recording) r USING (recording)""")
-def candidate_stats(spark, d):
-    f = tb.frames(spark, d)
-    r = fr.regions(f).groupBy("recording").agg(F.count(F.lit(1)).alias("n_found"), F.sum((F.col("stop") - F.col("start") >= 12).cast("long")).alias("n_used"))
-    zero = F.lit(0).cast("long")
-    return f.groupBy("recording").agg(F.count(F.lit(1)).alias("n_frames")).join(r, "recording", "left").select("recording", "n_frames", F.coalesce("n_found", zero).alias("n_found"), F.coalesce("n_used", zero).alias("n_used"))
-
-
 @query(f"WITH {RUNS} SELECT recording, label, start, stop, n FROM runs")
 def run_length_encode(spark, d):
     return fr.runs(tb.frames(spark, d))
 
 
-@query(f"WITH {RUNS} SELECT label, count(*) AS visits, sum(n)::BIGINT AS frames, sum(n - 1)::BIGINT AS self_moves FROM runs GROUP BY label")
-def transition_counts(spark, d):
-    return fr.transition_counts(tb.frames(spark, d))
-
-
 @query(f"""WITH {FRAMES},
 s AS (SELECT *, CASE WHEN frame - lag(frame) OVER w - 1 <= 17 THEN 0 ELSE 1 END AS new FROM frames WHERE label <> 'NOISE' WINDOW w AS (PARTITION BY recording ORDER BY frame)),
 t AS (SELECT *, sum(new) OVER (PARTITION BY recording ORDER BY frame) AS train FROM s)
@@ -109,13 +62,6 @@ def class_durations(spark, d):
     return fr.runs(tb.frames(spark, d)).filter("label <> 'NOISE'").groupBy("label").agg(F.round(F.avg("n"), 6).alias("mean_frames"), F.count(F.lit(1)).alias("n_runs"))
 
 
-@query(f"""WITH {RUNS}, e AS (SELECT recording, min(start) AS a, max(start) AS b FROM runs GROUP BY recording)
-SELECT recording, u.frame, 'DOWN' AS label FROM runs JOIN e USING (recording), unnest(range(start, stop)) AS u(frame) WHERE label = 'NOISE' AND start > a AND start < b AND n <= 6""")
-def closed_gaps(spark, d):
-    f = tb.frames(spark, d).withColumn("raw", F.col("label"))
-    return fr.close_gaps(f, F.lit("DOWN")).filter("raw = 'NOISE' AND label = 'DOWN'").select("recording", "frame", "label")
-
-
 @query(f"""WITH {FRAMES},
 c AS (SELECT *, CASE WHEN lag(label) OVER (PARTITION BY recording ORDER BY frame) <> label THEN 1 ELSE 0 END AS changed FROM frames),
 w AS (SELECT DISTINCT recording, unnest(range(0, 1000, 10)) AS start FROM frames)
@@ -141,46 +87,6 @@ def region_majority_class(spark, d):
     return fr.majority(region_frames(spark, d), ["recording", "start"], F.col("pooled"), F.col("frame")).withColumn("share", F.round("share", 6))
 
 
-@query(POOLED + """ SELECT recording, start, count(*) FILTER (label = 'UP') AS n_up, count(*) FILTER (label = 'DOWN') AS n_down,
-CASE WHEN count(*) FILTER (pooled = 'WHISTLE') = 0 THEN NULL WHEN count(*) FILTER (label = 'UP') > count(*) FILTER (label = 'DOWN') THEN 'up' WHEN count(*) FILTER (label = 'UP') < count(*) FILTER (label = 'DOWN') THEN 'down' ELSE 'mixed' END AS direction,
-round(avg(value), 4) AS mean_score FROM inside GROUP BY recording, start""")
-def region_direction_and_score(spark, d):
-    up, down = F.count_if(F.col("label") == "UP"), F.count_if(F.col("label") == "DOWN")
-    g = region_frames(spark, d).groupBy("recording", "start").agg(up.alias("n_up"), down.alias("n_down"), F.round(F.avg("value"), 4).alias("mean_score"))
-    return g.withColumn("direction", F.when(F.col("n_up") + F.col("n_down") == 0, F.lit(None).cast("string")).when(F.col("n_up") > F.col("n_down"), "up").when(F.col("n_up") < F.col("n_down"), "down").otherwise("mixed"))
-
-
-# Smoothing
-
-MOVE = sq.smoothing_weights()
-
-
-def smoothing_sql() -> str:
-    emit = lambda k: f"CASE WHEN f.label = '{tb.LABELS[k]}' THEN {math.log(0.6)!r}::DOUBLE ELSE {math.log(0.1)!r}::DOUBLE END"
-    first = ", ".join(f"{emit(k)} + {-math.log(5)!r}::DOUBLE AS s{k}" for k in range(5))
-    step = ", ".join("greatest(" + ", ".join(f"p.s{j} + {float(MOVE[j, k])!r}::DOUBLE" for j in range(5)) + f") + {emit(k)}" for k in range(5))
-    return f"""WITH RECURSIVE {FRAMES}, path AS (
-SELECT f.recording, f.frame, {first} FROM frames f WHERE f.frame = 0
-UNION ALL SELECT f.recording, f.frame, {step} FROM path p JOIN frames f ON f.recording = p.recording AND f.frame = p.frame + 1)
-SELECT p.recording, round(greatest(s0, s1, s2, s3, s4), 4) AS score FROM path p JOIN (SELECT recording, max(frame) AS frame FROM frames GROUP BY recording) l USING (recording, frame)"""
-
-
-@query(smoothing_sql())
-def viterbi_smooth_score(spark, d):
-    return sq.smooth_labels(tb.frames(spark, d)).groupBy("recording").agg(F.round(F.max("score"), 4).alias("score"))
-
-
-@query()
-def viterbi_smooth_regions(spark, d):
-    return fr.regions(sq.smooth_labels(tb.frames(spark, d)), 5)
-
-
-@query()
-def smoothing_effect(spark, d):
-    s = sq.smooth_labels(tb.frames(spark, d))
-    return s.groupBy("raw").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("raw") != F.col("label")).cast("double")), 6).alias("relabelled"))
-
-
 # Vectors
 
 
@@ -203,12 +109,6 @@ def local_maxima(spark, d):
     return peaks(spark, d).select("recording", "frame")
 
 
-@query(PEAKS + " SELECT recording, frame, k FROM (SELECT *, row_number() OVER (PARTITION BY recording ORDER BY value DESC, frame) AS k FROM p WHERE value > a AND value > b) WHERE k <= 3")
-def switchpoints_topk(spark, d):
-    order = Window.partitionBy("recording").orderBy(F.col("value").desc(), "frame")
-    return peaks(spark, d).withColumn("k", F.row_number().over(order).cast("long")).filter("k <= 3").select("recording", "frame", "k")
-
-
 DIMS = f"WITH {VECS}, dims AS (SELECT vec_id, recording, unnest(v) AS x, unnest(range(0, len(v))) AS dim FROM vecs)"
 
 
@@ -245,59 +145,24 @@ def mixture_loglik(spark, d):
 # Distances and clusters
 
 
-def short_sequences(spark, d):
-    f = tb.frames(spark, d).filter((F.col("recording") < 12) & (F.col("frame") < 12 + F.col("recording") % 4))
-    s = f.groupBy(F.col("recording").alias("id")).agg(F.array_sort(F.collect_list(F.struct("frame", "value"))).alias("s"))
-    return s.select("id", F.col("s.value").alias("values"))
-
-
 def sequences(spark, d):
     """All recordings with all their frames."""
     s = tb.frames(spark, d).groupBy(F.col("recording").alias("id")).agg(F.array_sort(F.collect_list(F.struct("frame", "value"))).alias("s"))
     return s.select("id", F.col("s.value").alias("values"))
 
 
-def dtw_sql() -> str:
-    """Anti-diagonals: each step holds the cells of diagonals k and k - 1."""
-    return f"""WITH RECURSIVE {FRAMES},
-s AS (SELECT recording AS id, frame + 1 AS i, value FROM frames WHERE recording < 12 AND frame < 12 + recording % 4),
-n AS (SELECT id, max(i) AS n FROM s GROUP BY id),
-cells AS (SELECT a.id AS anchor, b.id AS comparison, y.i, x.i AS j, (x.value - y.value) * (x.value - y.value) AS c FROM n a JOIN n b ON a.id < b.id JOIN s x ON x.id = a.id JOIN s y ON y.id = b.id WHERE abs(x.i - y.i) <= greatest(5, abs(a.n - b.n))),
-w AS (SELECT anchor, comparison, i, j, c AS cost, 2 AS k FROM cells WHERE i = 1 AND j = 1
-UNION ALL
-SELECT * FROM (
-  SELECT c.anchor, c.comparison, c.i, c.j, min(w.cost) + c.c AS cost, max(w.k) + 1 AS k FROM cells c JOIN w ON w.anchor = c.anchor AND w.comparison = c.comparison AND ((w.i = c.i - 1 AND w.j IN (c.j, c.j - 1)) OR (w.i = c.i AND w.j = c.j - 1)) WHERE c.i + c.j = w.k + 1 GROUP BY c.anchor, c.comparison, c.i, c.j, c.c
-  UNION ALL SELECT anchor, comparison, i, j, cost, k + 1 FROM w WHERE i + j = k AND k < 40))
-SELECT w.anchor, w.comparison, round(min(w.cost), 4) AS dtw FROM w JOIN n a ON a.id = w.anchor JOIN n b ON b.id = w.comparison WHERE w.i = b.n AND w.j = a.n GROUP BY w.anchor, w.comparison"""
-
-
-@query(dtw_sql())
-def dtw_pairs(spark, d):
-    return sq.dtw_pairs(short_sequences(spark, d)).withColumn("dtw", F.round("dtw", 4))
-
-
 @query()
-def dtw_pairs_whole(spark, d):
+def dtw_pairs(spark, d):
     return sq.dtw_pairs(sequences(spark, d)).withColumn("dtw", F.round("dtw", 4))
 
 
 @query()
 def dtw_pairs_path(spark, d):
-    return sq.dtw_pairs(short_sequences(spark, d), norm="path").withColumn("dtw", F.round("dtw", 4))
-
-
-@query()
-def dtw_pairs_path_whole(spark, d):
     return sq.dtw_pairs(sequences(spark, d), norm="path").withColumn("dtw", F.round("dtw", 4))
 
 
 @query()
 def dtw_pairs_length(spark, d):
-    return sq.dtw_pairs(short_sequences(spark, d), norm="length").withColumn("dtw", F.round("dtw", 4))
-
-
-@query()
-def dtw_pairs_length_whole(spark, d):
     return sq.dtw_pairs(sequences(spark, d), norm="length").withColumn("dtw", F.round("dtw", 4))
 
 
@@ -309,32 +174,24 @@ def all_vectors(spark, d):
 DIST = "sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))))"
 
 
-def grouped_vectors(spark, d):
-    """The first forty vectors of each label: the clusters' candidates, as many as labels times forty."""
-    return tb.vec_frames(spark, d).filter("frame < 40").select(F.col("vec_id").alias("id"), F.col("recording").alias("grp"), F.col("embedding").alias("v"))
-
-
-GROUPED = f"WITH {VECS}, g AS MATERIALIZED (SELECT vec_id AS id, recording AS grp, v FROM (SELECT vec_id, label AS recording, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings) WHERE rn <= 40), half AS (SELECT a.id AS anchor, b.id AS comparison, a.grp AS gi, b.grp AS gj, {DIST} AS d FROM g a JOIN g b ON a.id < b.id), pairs AS (SELECT * FROM half UNION ALL SELECT comparison, anchor, gj, gi, d FROM half)"
-
-
-# The same over every vector, where GROUPED has forty of each label.
 WHOLE = f"WITH {VECS}, g AS MATERIALIZED (SELECT vec_id AS id, recording AS grp, v FROM vecs), pairs AS (SELECT a.id AS anchor, b.id AS comparison, a.grp AS gi, b.grp AS gj, {DIST} AS d FROM g a, g b)"
 WHOLE_MEDOIDS = WHOLE + ", t AS (SELECT gi AS grp, anchor, round(sum(d), 6) AS total FROM pairs WHERE gi = gj GROUP BY gi, anchor), medoids AS (SELECT grp, anchor AS medoid FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY total, anchor) AS k FROM t) WHERE k = 1)"
 
 
 @query(WHOLE_MEDOIDS + " SELECT grp, medoid FROM medoids")
-def cluster_medoids_whole(spark, d):
+def cluster_medoids(spark, d):
     return clusters.whole_medoids(all_vectors(spark, d))
 
 
-@query(WHOLE + " SELECT gi AS model_i, gj AS model_j, round(min(d), 4) AS single, round(max(d), 4) AS complete, round(avg(d), 4) AS average FROM pairs WHERE gi <> gj GROUP BY gi, gj")
-def submodel_linkages_whole(spark, d):
-    out = clusters.whole_linkages(all_vectors(spark, d))
-    return out.select("model_i", "model_j", *[F.round(c, 4).alias(c) for c in ("single", "complete", "average")])
+@query(WHOLE_MEDOIDS + ", l AS (SELECT gi AS model_i, gj AS model_j, min(d) AS single, max(d) AS complete, avg(d) AS average FROM pairs WHERE gi <> gj GROUP BY gi, gj), c AS (SELECT grp, v FROM g JOIN medoids USING (grp) WHERE medoid = id) SELECT model_i, model_j, round(single, 4) AS single, round(complete, 4) AS complete, round(average, 4) AS average, round(" + DIST + ", 4) AS medoid FROM l JOIN c a ON a.grp = model_i JOIN c b ON b.grp = model_j")
+def submodel_linkages(spark, d):
+    g = clusters.stored(all_vectors(spark, d))
+    out = clusters.with_medoid_distance(clusters.whole_linkages(g), g, clusters.whole_medoids(g))
+    return out.select("model_i", "model_j", *[F.round(c, 4).alias(c) for c in ("single", "complete", "average", "medoid")])
 
 
 @query(WHOLE + ", r AS (SELECT gi // 2 AS root_i, gj // 2 AS root_j, d FROM pairs) SELECT root_i, root_j, round(min(d), 4) AS single, round(max(d), 4) AS complete, round(avg(d), 4) AS average FROM r WHERE root_i <> root_j GROUP BY root_i, root_j")
-def merged_linkage_whole(spark, d):
+def merged_linkage(spark, d):
     g = all_vectors(spark, d)
     groups = g.groupBy(F.col("grp").alias("model")).agg(F.floor(F.first("grp") / 2).cast("int").alias("root"), F.count(F.lit(1)).alias("hits"))
     out = clusters.merged_linkage(clusters.whole_linkages(g), groups)
@@ -342,39 +199,12 @@ def merged_linkage_whole(spark, d):
 
 
 @query(WHOLE_MEDOIDS + f", c AS (SELECT g.grp AS centre, v FROM g JOIN medoids ON medoid = id), r AS (SELECT a.id, b.centre, round({DIST}, 6) AS d FROM g a, c b) SELECT id, centre, d FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, centre) AS k FROM r) WHERE k = 1")
-def nearest_medoid_whole(spark, d):
+def nearest_medoid(spark, d):
     g = all_vectors(spark, d)
     m = clusters.whole_medoids(g).select(F.col("grp").alias("centre"), F.col("medoid").alias("id"))  # one per label
     return clusters.nearest(g, g.join(F.broadcast(m), "id").select(F.col("centre").alias("id"), "v"))
 
 
-@query(GROUPED + ", t AS (SELECT gi AS grp, anchor, round(sum(d), 6) AS total FROM pairs WHERE gi = gj GROUP BY gi, anchor) SELECT grp, anchor AS medoid FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY total, anchor) AS k FROM t) WHERE k = 1")
-def cluster_medoids(spark, d):
-    g = grouped_vectors(spark, d)
-    return clusters.medoids(clusters.vector_pairs(g), g)
-
-
-@query(GROUPED + " SELECT gi AS model_i, gj AS model_j, round(min(d), 4) AS single, round(max(d), 4) AS complete, round(avg(d), 4) AS average FROM pairs WHERE gi <> gj GROUP BY gi, gj")
-def submodel_linkages(spark, d):
-    g = grouped_vectors(spark, d)
-    out = clusters.linkages(clusters.vector_pairs(g), g)
-    return out.select("model_i", "model_j", *[F.round(c, 4).alias(c) for c in ("single", "complete", "average")])
-
-
-@query(GROUPED + ", l AS (SELECT gi, gj, min(d) AS s, max(d) AS c, avg(d) AS a FROM pairs WHERE gi <> gj GROUP BY gi, gj), m AS (SELECT grp, grp // 2 AS root, count(*) AS hits FROM g GROUP BY grp) SELECT i.root AS root_i, j.root AS root_j, round(min(s), 4) AS single, round(max(c), 4) AS complete, round(sum(a * i.hits * j.hits) / sum(i.hits * j.hits), 4) AS average FROM l JOIN m i ON i.grp = gi JOIN m j ON j.grp = gj WHERE i.root <> j.root GROUP BY i.root, j.root")
-def merged_linkage(spark, d):
-    g = grouped_vectors(spark, d)
-    groups = g.groupBy(F.col("grp").alias("model")).agg(F.floor(F.first("grp") / 2).cast("int").alias("root"), F.count(F.lit(1)).alias("hits"))
-    out = clusters.merged_linkage(clusters.linkages(clusters.vector_pairs(g), g), groups)
-    return out.select("root_i", "root_j", *[F.round(c, 4).alias(c) for c in ("single", "complete", "average")])
-
-
-@query(f"WITH {VECS}, c AS (SELECT recording AS centre, v FROM vecs WHERE frame = 0), r AS (SELECT a.vec_id AS id, b.centre, round({DIST}, 6) AS d FROM vecs a, c b) SELECT id, centre, d FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, centre) AS k FROM r) WHERE k = 1")
-def nearest_medoid(spark, d):
-    v = tb.vec_frames(spark, d)
-    return clusters.nearest(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), v.filter("frame = 0").select(F.col("recording").alias("id"), F.col("embedding").alias("v")))
-
-
 def distance_matrix(pairs: DataFrame) -> tuple[list[int], np.ndarray]:
     """A small pair table (clusters, or a filtered pool) as a matrix on the driver."""
     a, b, x = (c.to_numpy() for _, c in pairs.toPandas().items())
@@ -384,12 +214,6 @@ def distance_matrix(pairs: DataFrame) -> tuple[list[int], np.ndarray]:
     return ids.tolist(), m
 
 
-@query()
-def kmedoids_leaves(spark, d):
-    ids, m = distance_matrix(sq.dtw_pairs(sequences(spark, d)))
-    return spark.createDataFrame([(ids[k],) for k in clusters.leaves(m)], "medoid bigint")
-
-
 @query()
 def greedy_seriation(spark, d):
     links = clusters.whole_linkages(all_vectors(spark, d)).select("model_i", "model_j", F.round("average", 6).alias("d"))
@@ -397,51 +221,6 @@ def greedy_seriation(spark, d):
     return spark.createDataFrame([(k, ids[x]) for k, x in enumerate(clusters.seriate(m))], "place int, model int")
 
 
-# Profile models
-
-SMALL = ph.Profile.of([[[0], [10], [40]], [[0], [60], [20]]], [[[1], [100], [400]], [[1], [900], [225]]], [[0.1, 0.6, 0.3], [0.1, 0.5, 0.4]], [[0.5, 0.4, 0.3], [0.5, 0.2, 0.6]], {"nn": 0.9, "nb": 0.1, "ec": 0.001, "ej": 0.999, "jj": 0.95, "jb": 0.05, "cc": 0.9})
-QUIET = (np.array([50.0]), np.array([2500.0]))
-
-
-def phmm_sql() -> str:
-    bits = lambda m, v: f"(-0.5 * ((f.value - {m}) * (f.value - {m}) / {v}.0 + ln(2 * pi() * {v})) / ln(2))"
-    neg, fl = "'-infinity'::DOUBLE", {k: repr(v) for k, v in SMALL.flanks.items()}
-    g = {(0, 1): bits(10, 100), (0, 2): bits(40, 400), (1, 1): bits(60, 900), (1, 2): bits(20, 225)}
-    cell = lambda n, k: f"greatest({'p.m%d1, ' % n if k == 2 else ''}p.m{n}{k} + {float(SMALL.stay[n, k])!r}, p.b + {float(SMALL.entry[n, k])!r}) + {g[n, k]}"
-    ms = {f"m{n}{k}": cell(n, k) for n, k in g}
-    noise = bits(50, 2500)
-    return f"""WITH RECURSIVE {FRAMES}, path AS (
-SELECT recording, frame, {', '.join(f'{neg} AS {m}' for m in ms)}, {neg} AS e, 0.0::DOUBLE AS n, {neg} AS j, {neg} AS c, {fl['nb']}::DOUBLE AS b FROM frames WHERE frame = 0
-UNION ALL
-SELECT recording, frame, {', '.join(ms)}, e, n, j, greatest(c0, e + {fl['ec']}) + q AS c, greatest(n0 + {fl['nb']}, j + {fl['jb']}) AS b FROM (
-  SELECT *, greatest({', '.join(ms)}) AS e FROM (
-    SELECT f.recording, f.frame, {', '.join(f'{x} AS {m}' for m, x in ms.items())}, {noise} AS q, p.n AS n0, p.n + {fl['nn']} + {noise} AS n, greatest(p.j + {fl['jj']}, p.e + {fl['ej']}) + {noise} AS j, p.c + {fl['cc']} AS c0
-    FROM path p JOIN frames f ON f.recording = p.recording AND f.frame = p.frame + 1)))
-SELECT p.recording, round(p.c, 3) AS score FROM path p JOIN (SELECT recording, max(frame) AS frame FROM frames GROUP BY recording) l USING (recording, frame)"""
-
-
-@query(phmm_sql())
-def phmm_viterbi_score(spark, d):
-    return ph.search(tb.frames(spark, d), SMALL, QUIET).groupBy("recording").agg(F.round(F.max("score"), 3).alias("score"))
-
-
-@query()
-def phmm_hits(spark, d):
-    h = ph.search(tb.frames(spark, d), SMALL, QUIET).filter("n_frames > 0")
-    return h.select("recording", "hit", "submodel", "start", "stop", "n_frames", F.round("mean_emission", 4).alias("mean_emission"), F.round("mean_noise", 4).alias("mean_noise"), F.round(F.col("mean_emission") - F.col("mean_noise"), 4).alias("mean_llr"))
-
-
-@query()
-def submodel_assignments(spark, d):
-    return ph.assign_submodels(ph.search(tb.frames(spark, d), SMALL, QUIET))
-
-
-@query("SELECT label AS n_states, round(count(*) * 4 * ln(count(*) + 1) - 2 * sum(embedding[1]::DOUBLE), 4) AS bic FROM embeddings GROUP BY label")
-def bic_by_states(spark, d):
-    e = tb.read(spark, d, "embeddings").groupBy(F.col("label").alias("n_states")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("embedding")[0].cast("double")).alias("ll"))
-    return e.select("n_states", F.round(scalars.bic(F.col("n") * 4, F.col("n") + 1, F.col("ll")), 4).alias("bic"))
-
-
 # Hits
 
 
@@ -451,38 +230,11 @@ def display_set_topk(spark, d):
     return ht.display_set(tb.hits(spark, d)).select("submodel", F.col("rank").cast("long").alias("rank"), F.round("llr", 2).alias("llr"), "classification")
 
 
-@query(f"WITH {HITS} SELECT classification, count(*) AS n_pass FROM hits WHERE llr / 1000 >= CASE classification WHEN 'WHISTLE' THEN 30 WHEN 'BURST' THEN 10 WHEN 'ECHO' THEN 10 ELSE 15 END GROUP BY classification")
-def class_threshold_filter(spark, d):
-    h = tb.hits(spark, d).withColumn("llr", F.col("llr") / 1000)
-    return ht.threshold_filter(h, ht.CLASS_LLR).groupBy("classification").agg(F.count(F.lit(1)).alias("n_pass"))
-
-
 @query(f"WITH {HITS}, t AS (SELECT unnest([10000.0, 30000.0, 50000.0, 70000.0])::DOUBLE AS threshold) SELECT classification, threshold, count(*) FILTER (llr > threshold) AS n_above, round(avg(n_frames) FILTER (llr > threshold), 4) AS mean_frames FROM hits, t GROUP BY classification, threshold")
 def threshold_sweep(spark, d):
     return ht.sweep(tb.hits(spark, d), [10000, 30000, 50000, 70000]).withColumn("mean_frames", F.round("mean_frames", 4))
 
 
-@query(f"WITH {HITS} SELECT submodel, count(*) AS n, round(avg(llr), 2) AS mean_llr, round(avg(n_frames), 4) AS mean_frames, count(DISTINCT recording) AS n_recordings, count(*) FILTER (classification = 'WHISTLE') AS n_whistle, count(*) FILTER (classification = 'BURST') AS n_burst, count(*) FILTER (classification = 'NOISE') AS n_noise FROM hits GROUP BY submodel")
-def motif_summary(spark, d):
-    return ht.motif_summary(tb.hits(spark, d)).withColumn("mean_llr", F.round("mean_llr", 2)).withColumn("mean_frames", F.round("mean_frames", 4))
-
-
-@query(f"WITH {HITS} SELECT recording, count(*) AS n, min(hit) AS first_hit FROM hits GROUP BY recording")
-def hits_per_recording(spark, d):
-    return tb.hits(spark, d).groupBy("recording").agg(F.count(F.lit(1)).alias("n"), F.min("hit").alias("first_hit"))
-
-
-@query(f"WITH {HITS} SELECT floor(llr / 5000)::BIGINT AS bin, classification, count(*) AS n FROM hits GROUP BY ALL")
-def score_histogram(spark, d):
-    return tb.hits(spark, d).groupBy(F.floor(F.col("llr") / 5000).alias("bin"), "classification").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT l_linestatus AS status, count(*) FILTER (l_returnflag = 'A') AS a, count(*) FILTER (l_returnflag = 'N') AS n, count(*) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY l_linestatus")
-def crosstab(spark, d):
-    p = tb.read(spark, d, "lineitem").groupBy(F.col("l_linestatus").alias("status")).pivot("l_returnflag", ["A", "N", "R"]).count().na.fill(0)
-    return p.select("status", F.col("A").alias("a"), F.col("N").alias("n"), F.col("R").alias("r"))
-
-
 MARKS = "marks AS (SELECT o_orderkey AS recording, o_orderpriority AS mark FROM orders WHERE o_orderkey % 7 = 0)"
 
 
@@ -519,121 +271,3 @@ def shotlog_ffill(spark, d):
 
 def shotlog(spark, d):
     return tb.read(spark, d, "orders").select(F.col("o_custkey").alias("encounter"), F.col("o_orderdate").alias("tc"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("text"))
-
-
-@query("""WITH n AS (SELECT o_custkey AS encounter, epoch(o_orderdate)::BIGINT AS s, o_orderkey AS id, o_orderpriority AS text, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders)
-SELECT a.id, count(*) AS n_context, count(DISTINCT c.text) AS n_texts, max(CASE WHEN c.text = '1-URGENT' THEN 1 ELSE 0 END) AS has_urgent FROM n a JOIN n c ON a.encounter = c.encounter AND c.rn < a.rn AND c.s >= a.s - 2592000 GROUP BY a.id""")
-def context_window_onehot(spark, d):
-    s = shotlog(spark, d).withColumn("s", F.unix_timestamp("tc"))
-    p = ht.context_pairs(s, "encounter", ["s", "id"], "s", 30 * 86400)
-    return p.groupBy(F.col("a.id").alias("id")).agg(F.count(F.lit(1)).alias("n_context"), F.countDistinct("c.text").alias("n_texts"), F.max(F.when(F.col("c.text") == "1-URGENT", 1).otherwise(0)).alias("has_urgent"))
-
-
-@query(f"""WITH {HITS} SELECT kind, count(*) AS n, round(sum(x), 2) AS total FROM (SELECT 'motif' AS kind, llr AS x FROM hits WHERE confidence > 0.8 UNION ALL SELECT 'log', o_totalprice FROM orders) GROUP BY kind""")
-def annotate_union(spark, d):
-    a = tb.hits(spark, d).filter("confidence > 0.8").select(F.lit("motif").alias("kind"), F.col("llr").alias("x"))
-    b = tb.read(spark, d, "orders").select(F.lit("log").alias("kind"), F.col("o_totalprice").alias("x"))
-    return a.unionByName(b).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 2).alias("total"))
-
-
-@query("SELECT p_partkey, trim(replace(trim(regexp_replace(trim(regexp_replace(regexp_replace(upper(p_name), '[0-9?!_]', '', 'g'), '[/,]', ' AND ', 'g')), 'AND$', '')), '  ', '')) AS clean FROM part")
-def clean_text(spark, d):
-    return tb.read(spark, d, "part").select("p_partkey", F.trim(scalars.clean_line(F.col("p_name"))).alias("clean"))
-
-
-TERMS = ["the", "and", "der", "la", "For"]
-
-
-@query("SELECT doc_id, " + ", ".join(f"CASE WHEN contains(text, '{t}') THEN 1 ELSE 0 END AS has_{t.lower()}" for t in sorted(TERMS)) + " FROM documents")
-def keyword_flags(spark, d):
-    return tb.read(spark, d, "documents").select("doc_id", *ht.keyword_flags("text", TERMS))
-
-
-@query("SELECT source, min(doc_id) AS doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) AS k FROM documents) WHERE k = 1 GROUP BY source")
-def dedupe_by_stem(spark, d):
-    docs = tb.read(spark, d, "documents").withColumn("stem", F.concat_ws("/", "source", "lang"))
-    first = ht.dedupe(docs.select("stem", "source", "n_chars", "doc_id"), "stem", [F.col("n_chars").desc(), "doc_id"])
-    return first.groupBy("source").agg(F.min("doc_id").alias("doc_id"))
-
-
-@query("WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang) SELECT lang, 1000::BIGINT AS n_drawn, (1000 // n)::BIGINT AS whole_rounds FROM c")
-def oversample_balanced(spark, d):
-    """A thousand draws for each class: all members in turn, in the order of their numbers."""
-    docs = tb.read(spark, d, "documents").select("lang", "doc_id")
-    n = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    k = docs.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))).join(F.broadcast(n), "lang")
-    times = F.floor(F.lit(1000) / F.col("n")) + F.when(F.col("k") <= F.lit(1000) % F.col("n"), 1).otherwise(0)
-    return k.withColumn("times", times).groupBy("lang").agg(F.sum("times").alias("n_drawn"), F.first(F.floor(F.lit(1000) / F.col("n"))).alias("whole_rounds"))
-
-
-@query("SELECT CASE WHEN (doc_id // 50) % 100 < 15 THEN 'val' ELSE 'train' END AS split, count(*) AS n FROM documents GROUP BY 1")
-def block_split(spark, d):
-    split = F.when(F.floor(F.col("doc_id") / 50) % 100 < 15, "val").otherwise("train")
-    return tb.read(spark, d, "documents").groupBy(split.alias("split")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("""WITH c AS (SELECT unnest([0, 1]) AS cls) SELECT cls, count(*) FILTER (quality = cls) AS gold, count(*) FILTER (toxic = cls) AS guessed,
-round(count(*) FILTER (quality = cls AND toxic = cls) / nullif(count(*) FILTER (toxic = cls), 0), 6) AS precision, round(count(*) FILTER (quality = cls AND toxic = cls) / nullif(count(*) FILTER (quality = cls), 0), 6) AS recall FROM labels, c GROUP BY cls""")
-def accuracy_report(spark, d):
-    return ht.balanced_accuracy(tb.read(spark, d, "labels"), "quality", "toxic").select("cls", "gold", "guessed", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
-
-
-@query(f"""WITH {HITS}, r AS (SELECT classification AS run, avg(llr) AS llr, avg(n_frames) AS n_frames FROM hits GROUP BY classification), u AS (SELECT run, 'llr' AS metric, llr AS value FROM r UNION ALL SELECT run, 'n_frames', n_frames FROM r)
-SELECT u.run, u.metric, round((u.value - b.value) / abs(b.value) * 100, 4) AS lift FROM u JOIN u b ON b.metric = u.metric AND b.run = 'NOISE' WHERE u.run <> 'NOISE'""")
-def run_comparison_lift(spark, d):
-    r = tb.hits(spark, d).groupBy(F.col("classification").alias("run")).agg(F.avg("llr").alias("llr"), F.avg("n_frames").alias("n_frames"))
-    u = r.unpivot("run", ["llr", "n_frames"], "metric", "value")
-    b = u.filter("run = 'NOISE'").select("metric", F.col("value").alias("base"))
-    return u.filter("run <> 'NOISE'").join(F.broadcast(b), "metric").select("run", "metric", F.round(scalars.lift_percent(F.col("value"), F.col("base")), 4).alias("lift"))
-
-
-# Alignment metrics: columns are frames 0..19, sequences are recordings, gaps are NOISE
-
-MSA = f"WITH {FRAMES}, m AS (SELECT recording, frame, label = 'NOISE' AS gap, lag(label) OVER (PARTITION BY recording ORDER BY frame) = 'NOISE' AS before, value FROM frames WHERE frame < 20)"
-
-
-def msa(spark, d):
-    m = tb.frames(spark, d).filter("frame < 20").withColumn("gap", F.col("label") == "NOISE")
-    return m.withColumn("before", F.lag("gap").over(fr.by_frame()))
-
-
-@query(MSA + " SELECT count(*) FILTER (gap AND NOT coalesce(before, false)) AS opens, count(*) FILTER (gap AND coalesce(before, false)) AS extends, count(*) FILTER (gap) AS total FROM m")
-def msa_gap_metrics(spark, d):
-    old = F.coalesce("before", F.lit(False))
-    return msa(spark, d).agg(F.count_if(F.col("gap") & ~old).alias("opens"), F.count_if(F.col("gap") & old).alias("extends"), F.count_if(F.col("gap")).alias("total"))
-
-
-@query(MSA + " SELECT frame, round(var_pop(value), 4) AS variance, count(*) AS n FROM m WHERE NOT gap GROUP BY frame HAVING count(*) >= 2")
-def column_cleanliness(spark, d):
-    g = msa(spark, d).filter(~F.col("gap")).groupBy("frame").agg(F.round(F.var_pop("value"), 4).alias("variance"), F.count(F.lit(1)).alias("n"))
-    return g.filter("n >= 2")
-
-
-# The same over all columns
-
-MSA_WHOLE = f"WITH {FRAMES}, m AS (SELECT recording, frame, label = 'NOISE' AS gap, lag(label) OVER (PARTITION BY recording ORDER BY frame) = 'NOISE' AS before, value FROM frames)"
-
-
-def msa_whole(spark, d):
-    m = tb.frames(spark, d).withColumn("gap", F.col("label") == "NOISE")
-    return m.withColumn("before", F.lag("gap").over(fr.by_frame()))
-
-
-@query(MSA_WHOLE + " SELECT count(*) FILTER (gap AND NOT coalesce(before, false)) AS opens, count(*) FILTER (gap AND coalesce(before, false)) AS extends, count(*) FILTER (gap) AS total FROM m")
-def msa_gap_metrics_whole(spark, d):
-    old = F.coalesce("before", F.lit(False))
-    return msa_whole(spark, d).agg(F.count_if(F.col("gap") & ~old).alias("opens"), F.count_if(F.col("gap") & old).alias("extends"), F.count_if(F.col("gap")).alias("total"))
-
-
-@query(MSA_WHOLE + " SELECT frame, round(var_pop(value), 4) AS variance, count(*) AS n FROM m WHERE NOT gap GROUP BY frame HAVING count(*) >= 2")
-def column_cleanliness_whole(spark, d):
-    g = msa_whole(spark, d).filter(~F.col("gap")).groupBy("frame").agg(F.round(F.var_pop("value"), 4).alias("variance"), F.count(F.lit(1)).alias("n"))
-    return g.filter("n >= 2")
-
-
-@query(f"""WITH {RUNS}, g AS (SELECT recording, count(*) FILTER (label = 'NOISE') AS gaps, count(*) AS n FROM frames GROUP BY recording)
-SELECT g.recording, round(gaps * 100.0 / g.n, 6) AS gap_percent, coalesce(max(r.n) FILTER (r.label = 'NOISE'), 0) AS longest_gap FROM g JOIN runs r USING (recording) GROUP BY g.recording, gaps, g.n""")
-def seq_gap_stats(spark, d):
-    r = fr.runs(tb.frames(spark, d)).groupBy("recording")
-    gaps = F.sum(F.when(F.col("label") == "NOISE", F.col("n")).otherwise(0))
-    return r.agg(F.round(gaps * 100.0 / F.sum("n"), 6).alias("gap_percent"), F.coalesce(F.max(F.when(F.col("label") == "NOISE", F.col("n"))), F.lit(0).cast("long")).alias("longest_gap"))
