@@ -83,8 +83,8 @@ class DigestIndex:
         remove(self.spark, f"{self.path}/generation-{self.generation - 1}")
 
     def save(self) -> None:
-        row = [(self.generation, self.buckets, self.size)]
-        self.spark.createDataFrame(row, "generation int, buckets int, size bigint").coalesce(1).write.mode("overwrite").parquet(self.state)
+        one = self.spark.range(1).select(F.lit(self.generation).alias("generation"), F.lit(self.buckets).alias("buckets"), F.lit(self.size).cast("bigint").alias("size"))
+        one.coalesce(1).write.mode("overwrite").parquet(self.state)
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
