@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import lookup, materialise, new_path, read_table, small_batches, text_or_empty
+from spindrift.llm.common import discard, lookup, materialise, new_path, read_table, small_batches, text_or_empty
 
 END = "\r\n\r\n"
 FIXED_DATE = "2024-01-01T00:00:00Z"
@@ -199,7 +199,8 @@ def assemble(found: DataFrame) -> DataFrame:
 
     A response or revisit is a capture; other records belong to the capture that they name,
     those that name several records to each of these that is a capture (without any, to the
-    first named). Requests and metadata are arrays by record id.
+    first named). Requests and metadata are arrays by record id. ``found`` is read three
+    times, so records fresh from archives are best written first.
     """
     fields = F.struct("record_id", "uri", "digest", "refers_to", "page_id", "payload_bytes", "payload_sha1", "payload")
     is_main = F.col("type").isin("response", "revisit")
@@ -221,7 +222,9 @@ def assemble(found: DataFrame) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "archives")
     write_archives(spark, read_table(spark, sf_dir, "pages"), path)
-    found = materialise(spark, assemble(read_records(spark, path)), "captures")
+    each = materialise(spark, read_records(spark, path), "records")  # archives are unpacked once
+    found = materialise(spark, assemble(each), "captures")
+    discard(spark, each)
     small_batches(spark)
     refers = F.regexp_extract("response.refers_to", r"^<urn:capture:(-?[0-9]+):", 1)
     about = F.get("metadata", F.lit(0))
