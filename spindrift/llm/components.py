@@ -12,7 +12,13 @@ TASK = 250_000
 
 
 def follow(df: DataFrame, col: str, up: DataFrame, n: int) -> DataFrame:
-    """``df``, of ``n`` rows, with the values of ``col`` that ``up`` (x, p) has replaced by p."""
+    """``df``, of ``n`` rows, with the values of ``col`` that ``up`` (x, p) has replaced by p.
+
+    What one task handles anyway cannot be skewed and is joined as it is.
+    """
+    if n <= TASK:
+        found = df.join(up.select(F.col("x").alias("_key"), F.col("p").alias("_to")), F.col(col) == F.col("_key"), "left")
+        return found.select(*[F.coalesce("_to", c).alias(c) if c == col else F.col(c) for c in df.columns])
     times = df.groupBy(F.col(col).alias("x")).agg(F.count(F.lit(1)).alias("_n"))
     table = times.join(up, "x", "left").select(F.col("x").alias("_key"), "_n", F.col("p").alias("_to"))
     found = lookup(df.withColumn("_key", F.col(col)), table, "_key", "_n", n)
@@ -37,23 +43,19 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     edges, every = keep(edges, "few-links"), edges
     discard(spark, every)
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    labels, steps = nodes.withColumn("component", F.col("node")), 0
-    while edges.filter("a <> b").limit(1).count():
+    labels, steps, n_nodes = nodes.withColumn("component", F.col("node")), 0, nodes.count()
+    n_links = edges.filter("a <> b").count()
+    while n_links:
         steps += 1
         old = [edges] if steps == 1 else [edges, labels]
         both = edges.filter("a <> b").select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")).select("e.*")
         up = both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("p"))
         up = keep(up, f"parents-{steps}")
         old.append(up)
-        up = keep(follow(up, "p", up, up.count()), f"jumps-{steps}")
-        if steps == 1:  # all nodes are labelled by themselves
-            labels = labels.join(up, F.col("component") == F.col("x"), "left").select("node", F.coalesce("p", "component").alias("component"))
-        else:
-            labels = follow(labels, "component", up, labels.count())
-        labels = keep(labels, f"labels-{steps}")
-        inner = edges.filter("a <> b")
-        n = inner.count()
-        moved = follow(follow(inner, "a", up, n), "b", up, n)
+        up = keep(follow(up, "p", up, n_nodes), f"jumps-{steps}")
+        labels = keep(follow(labels, "component", up, n_nodes), f"labels-{steps}")
+        moved = follow(follow(edges.filter("a <> b"), "a", up, n_links), "b", up, n_links)
         edges = keep(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), f"links-{steps}")
+        n_links = edges.count()
         discard(spark, *old, up)
     return labels

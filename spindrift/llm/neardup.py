@@ -46,7 +46,7 @@ WHOLE = 256
 #: A pair is verified if its estimate is no more standard errors below the threshold than this.
 ERRORS = 4
 #: Members that meet one copy of their hub.
-SALT = 256
+SALT = 64
 #: Bands' classes compared at a time in the last step.
 BLOCK = 256
 #: Hubs that the classes of a band's group meet: bands are dealt to so many orders of the classes.

@@ -1,5 +1,7 @@
 """Connected components against union-find, with stars, chains and rings."""
 
+import importlib
+
 import numpy as np
 import pytest
 
@@ -21,8 +23,9 @@ def brute(links):
     return {x: root(x) for x in list(up)}
 
 
-@pytest.mark.parametrize("hot", [4, 512])
-def test_components(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot,task", [(4, 10), (512, 10), (512, 250_000)])
+def test_components(spark, monkeypatch, hot, task):
+    monkeypatch.setattr(importlib.import_module("spindrift.llm.components"), "TASK", task)
     monkeypatch.setattr(common.lookup, "__defaults__", (hot,))
     rng = np.random.default_rng(1)
     links = [(999, k) for k in range(40)] + [(1000 + k, 1001 + k) for k in range(30)] + [(2000, 2000 + k) for k in range(1, 40)] + [(5000, 5000)]
