@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ THRESHOLD = 0.7
 #: Numbers that features are hashed to.
 SPACE = 1 << 22
 #: Words whose weights a worker remembers.
-REMEMBER = 500_000
+REMEMBER = 300_000
 
 SENTENCE = re.compile(r"[.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -71,8 +72,8 @@ class Examples:
 
     def __init__(self):
         self.index: dict[str, int] = {}
-        self.of_word: list[np.ndarray] = []
-        self.rows_with = np.zeros(SPACE, np.int32)
+        self.features = array("i")  # of all words in turn
+        self.ends = array("i")  # where each word's end
         self.words: list[np.ndarray] = []  # words of all sentences in turn
         self.sizes: list[np.ndarray] = []  # words in each sentence
         self.counts: list[int] = []  # sentences of each text
@@ -84,17 +85,28 @@ class Examples:
             distinct = set(s)
             sizes.append(len(distinct))
             for w in distinct:
-                k = self.index.setdefault(w, len(self.of_word))
-                if k == len(self.of_word):
-                    self.of_word.append(np.array(features(w), np.int32))
+                k = self.index.setdefault(w, len(self.ends))
+                if k == len(self.ends):
+                    self.features.extend(features(w))
+                    self.ends.append(len(self.features))
                 words.append(k)
-        if words:
-            self.rows_with[np.unique(np.concatenate([self.of_word[k] for k in set(words)]))] += 1
         self.words.append(np.array(words, np.int32))
         self.sizes.append(np.array(sizes, np.int32))
         self.counts.append(len(sizes))
         self.labels.append(label)
 
+    @property
+    def rows_with(self) -> np.ndarray:
+        """In how many texts each feature occurs."""
+        every, ends = np.array(self.features, np.int32), np.array(self.ends, np.int32)
+        begins, out = np.append(0, ends)[:-1], np.zeros(SPACE, np.int32)
+        for words in self.words:
+            own = np.unique(words)
+            n = ends[own] - begins[own]
+            place = np.repeat(begins[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            out[np.unique(every[place])] += 1
+        return out
+
 
 def fit(examples: Examples, min_rows: int = MIN_ROWS, steps: int = STEPS, l2: float = 0.3) -> tuple[float, dict[int, float]]:
     """Bias and weights that maximise the likelihood of document labels under noisy-or (Adam, full batch)."""
@@ -105,15 +117,16 @@ def fit(examples: Examples, min_rows: int = MIN_ROWS, steps: int = STEPS, l2: fl
     kept = np.flatnonzero(examples.rows_with >= min_rows)
     number = np.full(SPACE, -1, np.int32)
     number[kept] = np.arange(len(kept))
-    n_words = len(examples.of_word)
-    feature = number[np.concatenate(examples.of_word)] if n_words else np.zeros(0, np.int32)
-    of = np.repeat(np.arange(n_words, dtype=np.int32), [len(x) for x in examples.of_word])
+    n_words = len(examples.ends)
+    feature = number[np.array(examples.features, np.int32)]
+    of = np.repeat(np.arange(n_words, dtype=np.int32), np.diff(np.array(examples.ends, np.int32), prepend=0))
+    del number
     of, feature = of[feature >= 0], feature[feature >= 0]
     useful = np.zeros(n_words, bool)
     useful[of] = True
     word, sizes = np.concatenate(examples.words), np.concatenate(examples.sizes)
     sentence = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    owner = np.repeat(np.arange(n), examples.counts)
+    owner = np.repeat(np.arange(n, dtype=np.int32), examples.counts)
     word, sentence = word[useful[word]], sentence[useful[word]]
     w, b = np.zeros(len(kept)), -5.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
@@ -155,6 +168,7 @@ def train(spark: SparkSession, df: DataFrame, labels: DataFrame, id_col: str = "
         for batch in batches:
             for text, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 examples.add(text, label)
+        examples.index = {}  # the fit needs the words' numbers alone
         bias, weights = fit(examples)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *weights], pa.int64()), pa.array([bias, *weights.values()], pa.float64())], names=["feature", "weight"])
 
