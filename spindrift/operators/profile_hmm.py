@@ -272,6 +272,35 @@ def hits(paths: DataFrame, states: int, with_noise: bool = True, hop: int = 2560
     )
 
 
+def aligned_slots(paths: DataFrame, submodels: int, states: int, per_column: int = 2, flank: int = 2) -> DataFrame:
+    """recording, slot, submodel, k, frame: each recording laid out in the same slots, a frame or silence (null) in each.
+
+    First come ``flank`` slots of what precedes the first hit (its frames from the start, but for
+    the one before the hit; frame 0 in any case), then ``per_column`` slots of each state of each
+    sub-model (the sentinel's stay silent) with its earliest frames, whatever their hits, then
+    ``flank`` slots from the last matched frame on. Without a hit, the last slots hold the first
+    frames and all others are silent. Slots are one hop long, so they follow without overlap.
+    """
+    from pyspark.sql import Window
+
+    columns = submodels * states * per_column
+    place = F.row_number().over(Window.partitionBy("recording", "state").orderBy("frame"))
+    matched = path_frames(paths, states).select("recording", "state", "frame", place.alias("o")).filter(F.col("o") <= per_column)
+    matched = matched.select("recording", (flank + F.col("state") * per_column + F.col("o") - 1).cast("int").alias("slot"), "frame")
+    hit = F.transform("state", lambda s: s >= 0)
+    ends = paths.select("recording", "frame", F.array_position(hit, True).cast("int").alias("first"), F.array_position(F.reverse(hit), True).cast("int").alias("from_end"))
+    # first: 1-based place of the first matched frame, 0 without any; the last matched frame is from_end places from the end.
+    front = F.slice("frame", F.lit(1), F.when(F.col("first") > 0, F.least(F.lit(flank), F.greatest(F.col("first") - 2, F.lit(1)))).otherwise(0))
+    back = F.slice("frame", F.when(F.col("first") > 0, F.size("frame") - F.col("from_end") + 1).otherwise(1), F.lit(flank))
+    lead = ends.select("recording", F.posexplode(front).alias("slot", "frame"))
+    tail = ends.select("recording", F.posexplode(back).alias("slot", "frame")).withColumn("slot", F.col("slot") + flank + columns)
+    # A recording's filled slots are few, however long it is.
+    filled = matched.unionByName(lead).unionByName(tail).groupBy("recording").agg(F.map_from_entries(F.collect_list(F.struct("slot", "frame"))).alias("at"))
+    every = filled.select("recording", "at", F.explode(F.sequence(F.lit(0), F.lit(2 * flank + columns - 1))).alias("slot"))
+    state = F.when((F.col("slot") >= flank) & (F.col("slot") < flank + columns), F.floor((F.col("slot") - flank) / per_column).cast("int"))
+    return every.select("recording", "slot", F.floor(state / states).cast("int").alias("submodel"), (state % states).alias("k"), F.try_element_at("at", F.col("slot")).alias("frame"))
+
+
 def assign_submodels(paths: DataFrame, states: int) -> DataFrame:
     """Sub-model of most matched frames of each recording; -1 without any; the first seen wins a tie."""
     per = path_frames(paths, states).groupBy("recording", "submodel").agg(F.count(F.lit(1)).alias("n"), F.min("frame").alias("seen"))

@@ -89,6 +89,18 @@ def phmm_full_match_hits(spark, d):
     return ph.hits(paths(spark, d, full_match=True), 3).select("recording", "hit", "submodel", "start", "stop", F.round("mean_llr", 4).alias("mean_llr"))
 
 
+@query(PATH + """, fl AS (SELECT e.recording, e.n, min(m.frame) AS first, max(m.frame) AS last FROM ends e LEFT JOIN matched m ON m.recording = e.recording GROUP BY ALL),
+rk AS (SELECT recording, submodel, k, frame, row_number() OVER (PARTITION BY recording, submodel, k ORDER BY frame) AS o FROM matched),
+filled AS (SELECT recording, 2 + (submodel * 3 + k) * 2 + o - 1 AS slot, frame FROM rk WHERE o <= 2
+UNION ALL SELECT recording, i, i FROM fl, unnest(range(0, 2)) AS u(i) WHERE first IS NOT NULL AND i < greatest(first - 1, 1)
+UNION ALL SELECT recording, 14 + i, coalesce(last, 0) + i FROM fl, unnest(range(0, 2)) AS u(i) WHERE coalesce(last, 0) + i < n),
+slots AS (SELECT recording, slot FROM ends, unnest(range(0, 16)) AS u(slot))
+SELECT s.recording, s.slot::INT AS slot, CASE WHEN s.slot BETWEEN 2 AND 13 THEN (s.slot - 2) // 6 END::INT AS submodel, CASE WHEN s.slot BETWEEN 2 AND 13 THEN ((s.slot - 2) // 2) % 3 END::INT AS k, f.frame
+FROM slots s LEFT JOIN filled f ON f.recording = s.recording AND f.slot = s.slot""")
+def aligned_slots(spark, d):
+    return ph.aligned_slots(clusters.stored(paths(spark, d)), 2, 3)
+
+
 # Alignment quality
 
 

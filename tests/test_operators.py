@@ -365,3 +365,20 @@ def test_context_keeps_to_rows_before(spark):
     got = {r.seq: (r.n_context, r.heard) for r in ft.context_features(ft.clean(df)).collect()}
     assert got == {2: (1, [4]), 5: (3, [4, 5, 6])}
     assert set(r.seq for r in ft.context_features(ft.clean(df), keep_empty=True).collect()) == {2, 5, 7}
+
+
+def test_aligned_slots(spark):
+    """Two hits share a state's slots by time; the rest is silent; a recording without hits has its tail alone."""
+    state = [-1, -1, -4, 1, 1, 2, -2, -4, 1, 5, -3]
+    rows = [
+        (1, 0.0, 11, list(range(11)), ["x"] * 11, state, [0] * 11, [0.0] * 11, [0.0] * 11),
+        (2, 0.0, 3, [0, 1, 2], ["x"] * 3, [-3] * 3, [-1] * 3, [0.0] * 3, [0.0] * 3),
+        (3, 0.0, 2, [0, 1], ["x"] * 2, [-4, 4], [-1, 0], [0.0] * 2, [0.0] * 2),
+    ]
+    got = {}
+    for r in ph.aligned_slots(spark.createDataFrame(rows, ph.PATH_DDL), 2, 3).collect():
+        got.setdefault(r["recording"], {})[r["slot"]] = (r["submodel"], r["k"], r["frame"])
+    assert [len(v) for v in got.values()] == [16] * 3
+    placed = {n: {s: x[2] for s, x in sorted(v.items()) if x[2] is not None} for n, v in got.items()}
+    assert placed == {1: {0: 0, 1: 1, 4: 3, 5: 4, 6: 5, 12: 9, 14: 9, 15: 10}, 2: {14: 0, 15: 1}, 3: {0: 0, 10: 1, 14: 1}}
+    assert got[1][0][:2] == (None, None) and got[1][4][:2] == (0, 1) and got[1][13][:2] == (1, 2) and got[1][2][:2] == (0, 0)
