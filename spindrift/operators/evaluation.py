@@ -113,3 +113,12 @@ def step_curve(history: DataFrame, run: str, epoch: str, step: str, loss: str, w
     x = F.row_number().over(in_epoch.orderBy(step)) / F.count(F.lit(1)).over(in_epoch) + F.col(epoch) - 1
     smooth = F.when(F.row_number().over(along) >= F.least(F.lit(width), F.count(F.lit(1)).over(Window.partitionBy(run))), F.avg(loss).over(last))
     return history.select(run, epoch, step, x.alias("x"), smooth.alias("smoothed"))
+
+
+def picked_examples(df: DataFrame, key: str, change: str, most: int = 4, others: int = 2, order: Column | None = None) -> DataFrame:
+    """The ``most`` rows that changed most (by ``key`` among equals; nulls last), and ``others`` of the rest in
+    hashed order (or ``order``), each with why it was picked. ``key`` is unique and not null."""
+    order = order if order is not None else F.xxhash64(F.col(key), F.lit(0))
+    first = df.orderBy(F.col(change).desc_nulls_last(), key).limit(most)
+    rest = df.join(F.broadcast(first.select(key)), key, "left_anti").orderBy(order, key).limit(others)  # ``most`` rows
+    return first.withColumn("picked", F.lit("most changed")).unionByName(rest.withColumn("picked", F.lit("random")))

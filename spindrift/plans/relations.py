@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spindrift.functions import scalars
-from spindrift.operators import browse, clusters, evaluation as ev, features as ft, hits as ht, sampling as sp
+from spindrift.operators import browse, clusters, evaluation as ev, features as ft, frames as fr, hits as ht, sampling as sp
 from spindrift.plans.catalog import MARKS, all_vectors, marks, shotlog
-from spindrift.plans.registry import FRAMES, HITS, REGIONS, VECS, query
+from spindrift.plans.registry import FRAMES, HITS, REGIONS, RUNS, VECS, query
 from spindrift.sources import files, tables as tb
 
 # Hits
@@ -18,8 +18,6 @@ s AS (SELECT recording, count(*) AS n_found, count(*) FILTER (len >= 10) AS n_us
 SELECT recording, n_frames, coalesce(n_found, 0) AS n_found, coalesce(n_used, 0) AS n_used, coalesce(n_medoids, 0) AS n_medoids FROM n LEFT JOIN s USING (recording)""")
 def candidate_stats(spark, d):
     """Regions of any length, those long enough to be candidates, and those among the medoids (here: long ones)."""
-    from spindrift.operators import frames as fr
-
     f = tb.frames(spark, d)
     found = fr.regions(f, 1).withColumn("n", F.col("stop") - F.col("start"))
     sources = found.select("recording", "start", F.when(F.col("n") >= 10, F.struct("recording", "start")).alias("candidate"))
@@ -286,6 +284,15 @@ def pool_union(spark, d):
     return browse.pool_union(docs, pages, ["page_id"]).select("origin", "candidate_index")
 
 
+@query(f"""WITH {RUNS}, c AS (SELECT recording, count(*) - 1 AS change FROM runs GROUP BY recording),
+o AS (SELECT *, row_number() OVER (ORDER BY change DESC, recording) AS k FROM c), r AS (SELECT *, row_number() OVER (ORDER BY md5(recording::VARCHAR), recording) AS j FROM o WHERE k > 4)
+SELECT recording, change, 'most changed' AS picked FROM o WHERE k <= 4 UNION ALL SELECT recording, change, 'random' FROM r WHERE j <= 2""")
+def picked_examples(spark, d):
+    """Recordings whose label changes most often, and others."""
+    changes = fr.runs(tb.frames(spark, d)).groupBy("recording").agg((F.count(F.lit(1)) - 1).alias("change"))
+    return ev.picked_examples(changes, "recording", "change", order=F.md5(F.col("recording").cast("string")))
+
+
 # Reports
 
 

@@ -382,3 +382,11 @@ def test_aligned_slots(spark):
     placed = {n: {s: x[2] for s, x in sorted(v.items()) if x[2] is not None} for n, v in got.items()}
     assert placed == {1: {0: 0, 1: 1, 4: 3, 5: 4, 6: 5, 12: 9, 14: 9, 15: 10}, 2: {14: 0, 15: 1}, 3: {0: 0, 10: 1, 14: 1}}
     assert got[1][0][:2] == (None, None) and got[1][4][:2] == (0, 1) and got[1][13][:2] == (1, 2) and got[1][2][:2] == (0, 0)
+
+
+def test_picked_examples(spark):
+    """Ties by key, nulls last, fewer rows than asked for, none at all."""
+    df = spark.createDataFrame([(1, 5.0), (2, 9.0), (3, 5.0), (4, None), (5, 1.0)], "id long, change double")
+    got = [(r["id"], r["picked"]) for r in ev.picked_examples(df, "id", "change", 2, 2, -df["id"]).collect()]
+    assert sorted(got) == [(1, "most changed"), (2, "most changed"), (4, "random"), (5, "random")]
+    assert ev.picked_examples(df, "id", "change", 4, 3).count() == 5 and ev.picked_examples(df.limit(0), "id", "change").count() == 0
