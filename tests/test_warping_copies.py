@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from spindrift.operators import sequences as sq
+from spindrift.plans import catalog
 
 
 def some_copies(n, copies, seed):
@@ -39,3 +40,11 @@ def test_rows_are_made_behind_python(spark, norm):
     seqs = spark.createDataFrame([(1, [1.0]), (2, [1.0])], "id bigint, values array<double>")
     plan = sq.dtw_pairs(seqs, 5, norm)._jdf.queryExecution().optimizedPlan().toString()
     assert 0 <= plan.find("Generate explode(p") < plan.find("Generate posexplode(q") < plan.find("MapInArrow")
+
+
+def test_length_query_makes_rows_behind_python(spark, tmp_path):
+    rows = [(10 * r + k, k, r, "view", float(k * (r % 2))) for r in range(6) for k in range(5)]
+    spark.createDataFrame(rows, "event_id bigint, ts bigint, user_id bigint, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    found = catalog.dtw_pairs_length(spark, str(tmp_path))
+    assert "Generate explode(p" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.anchor, r.comparison): r.dtw for r in found.collect()} == {(a, b): 3.0 * ((a + b) % 2) for a in range(6) for b in range(a + 1, 6)}
